@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Oracles, by query.
 ORACLES: dict[str, str] = {}
@@ -31,3 +32,17 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm.pieces import piece_digests
 
     return piece_digests(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.quality import assess
+
+    return assess(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.langid import classify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return classify(docs, learn(docs)).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
