@@ -46,3 +46,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     return classify(docs, learn(docs)).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
