@@ -70,3 +70,9 @@ WITH x AS (
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))

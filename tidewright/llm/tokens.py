@@ -9,27 +9,25 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-SAFE = frozenset(map(chr, [9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0x100)]))
+#: A character outside SAFE: ASCII text and the Latin letters from U+00C0 to U+00FF.
+UNSAFE = re.compile("[^\t\n\r -~\u00c0-\u00ff]")
 _L = "a-zA-ZÀ-ÖØ-öø-ÿ"
 #: The chunk patterns of the two vocabularies, restricted to SAFE.
 WORD_CHUNKS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
 BYTE_CHUNKS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
-#: Distinct chunks that a worker keeps; beyond it the table starts anew.
-TABLE = 400_000
+#: Distinct chunks that a worker keeps; beyond it the table starts anew. Longer chunks are not kept.
+TABLE, CHUNK_CHARS = 800_000, 48
 
 
-class _Table(dict):
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write a byte (as a Latin-1 character): printable ones stand for themselves, the others follow from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
@@ -41,18 +39,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.lower = kind == "word"
         self.chunks = (WORD_CHUNKS if self.lower else BYTE_CHUNKS).findall
-        self.table = _Table(self.tokenizer)
+        self.letters = _byte_letters()
+        self.table: dict[str, bytes] = {}
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of one chunk, by the library's merges alone: normaliser and pattern have done their part."""
+        found = array("I", [x.id for x in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(chunk) <= CHUNK_CHARS:
+            self.table[chunk] = found
+        return found
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        if not SAFE.issuperset(text):
+        if UNSAFE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         if len(self.table) > TABLE:
             self.table.clear()
-        return np.frombuffer(b"".join(map(self.table.__getitem__, self.chunks(text.lower() if self.lower else text))), "<u4")
+        chunks = self.chunks(text.lower() if self.lower else text)
+        found = list(map(self.table.get, chunks))
+        if None in found:
+            found = [self.chunk(c) if x is None else x for c, x in zip(chunks, found, strict=True)]
+        return np.frombuffer(b"".join(found), "<u4")
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
