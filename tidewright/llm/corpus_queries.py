@@ -76,3 +76,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm.packing import pack_documents
 
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.jaccard_join import link_documents
+
+    return link_documents(_table(spark, sf_dir, "documents"), words=4, similarity=85)
