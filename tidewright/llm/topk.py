@@ -20,6 +20,9 @@ from pyspark.sql.window import Window
 from tidewright.llm.common import cut
 
 SHARD, BLOCK, LEAF = 1024, 512, 64
+#: Shards that one task searches in a row for a block, each starting from the k-th scores of those before.
+RUN = 16
+NONE = np.iinfo(np.int64).min
 
 
 class BallTree:
@@ -51,9 +54,9 @@ class BallTree:
         self.ids, self.points = ids[order], points[order]
         self.centers, self.radii = np.array(centers), np.array(radii)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the query, id, score) of each query's k best here that reach its floor; ties to smaller ids."""
-        m, none = len(queries), np.iinfo(np.int64).min
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, best: np.ndarray, who: np.ndarray, floor: np.ndarray) -> None:
+        """Merges each query's best here that reach its floor into its k best so far (scores, ids); ties to smaller ids."""
+        m, k, none = len(queries), best.shape[1], NONE
         width = max(queries.shape[1], self.points.shape[1])
         q = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
         points = np.pad(self.points, ((0, 0), (0, width - self.points.shape[1])))
@@ -62,8 +65,7 @@ class BallTree:
         exact = np.abs(real).max(initial=0) * float(np.abs(points).max(initial=0)) * width < 2**53
         bound = real @ centers.T + np.sqrt((real**2).sum(axis=1))[:, None] * self.radii[None, :]
         bound += 1e-9 * np.abs(bound) + 1e-6
-        best, who = np.full((m, k), none, np.int64), np.zeros((m, k), np.int64)
-        kth = floor.astype(np.float64)
+        kth = np.maximum(floor, np.where(best[:, k - 1] == none, -np.inf, best[:, k - 1].astype(np.float64)))
         for node, up in enumerate(self.parent):  # parents stand before their children
             if up >= 0:
                 bound[:, node] = np.minimum(bound[:, node], bound[:, up])
@@ -90,9 +92,6 @@ class BallTree:
                 top = np.lexsort((ids, ~both), axis=1)[:, :k]
                 best[rows], who[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
                 kth[rows] = np.maximum(kth[rows], np.where(best[rows, k - 1] == none, -np.inf, best[rows, k - 1].astype(np.float64)))
-        found = (best != none) & (best >= kth[:, None])
-        row, column = np.nonzero(found)
-        return row, who[row, column], best[row, column]
 
 
 def _integers(column: pa.Array, scale: float) -> np.ndarray:
@@ -143,32 +142,44 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     trees = cut(points.mapInArrow(pack(BallTree), "key bigint, blob binary").withColumnsRenamed({"key": "shard", "blob": "tree"}))
     groups = cut(asked.mapInArrow(pack(lambda i, v: (i, v)), "key bigint, blob binary").withColumnsRenamed({"key": "block", "blob": "queries"}))
 
+    def nothing(m: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.full((m, k), NONE, np.int64), np.zeros((m, k), np.int64)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, v, start, best, who = None, None, None, None, None, None
+
+        def found() -> pa.RecordBatch:
+            row, column = np.nonzero((best != NONE) & (best >= start[:, None]))
+            return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(who[row, column]), pa.array(best[row, column])], ["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for tree, queries, floor in zip(*(batch.column(i) for i in range(3)), strict=True):
-                ids, v = pickle.loads(queries.as_py())
-                start = np.frombuffer(floor.as_py(), np.float64) if floor.is_valid else np.full(len(ids), -np.inf)
-                row, who, score = pickle.loads(tree.as_py()).search(ids, v, k, start)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(who), pa.array(score)], ["query_id", "vec_id", "score"])
+            for run, block, tree, queries, floor in zip(*batch.columns, strict=True):
+                if (run.as_py(), block.as_py()) != at:
+                    if at is not None:
+                        yield found()
+                    at = run.as_py(), block.as_py()
+                    ids, v = pickle.loads(queries.as_py())
+                    start = np.frombuffer(floor.as_py(), np.float64) if floor.is_valid else np.full(len(ids), -np.inf)
+                    best, who = nothing(len(ids))
+                pickle.loads(tree.as_py()).search(ids, v, best, who, start)
+        if at is not None:
+            yield found()
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for tree, queries in zip(batch.column(1), batch.column(2), strict=True):
                 ids, v = pickle.loads(queries.as_py())
-                row, _, score = pickle.loads(tree.as_py()).search(ids, v, k, np.full(len(ids), -np.inf))
-                low = np.full(len(ids), -np.inf)
-                full = np.bincount(row, minlength=len(ids)) == k
-                least = np.full(len(ids), np.inf)
-                np.minimum.at(least, row, score.astype(np.float64))
-                low[full] = least[full]
-                out.append(low.tobytes())
+                best, who = nothing(len(ids))
+                pickle.loads(tree.as_py()).search(ids, v, best, who, np.full(len(ids), -np.inf))
+                out.append(np.where(best[:, k - 1] == NONE, -np.inf, best[:, k - 1].astype(np.float64)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "floor"])
 
     home = groups.withColumn("shard", F.pmod("block", F.lit(shards))).join(trees, "shard").select("block", "tree", "queries").repartition(blocks, "block")
     known = groups.join(cut(home.mapInArrow(floors, "block bigint, floor binary")), "block", "left")
-    met = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))).join(trees, "shard")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards * blocks // 16)
-    hits = met.repartition(min(tasks, shards * blocks), "shard", "block").select("tree", "queries", "floor").mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    met = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))).join(trees, "shard").withColumn("run", F.floor(F.col("shard") / RUN))
+    runs = -(-shards // RUN) * blocks
+    hits = met.repartition(min(runs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), runs // 4)), "run", "block").sortWithinPartitions("run", "block", "shard")
+    hits = hits.select("run", "block", "tree", "queries", "floor").mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
