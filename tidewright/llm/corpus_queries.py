@@ -82,3 +82,9 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm.jaccard_join import link_documents
 
     return link_documents(_table(spark, sf_dir, "documents"), words=4, similarity=85)
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
