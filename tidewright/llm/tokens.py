@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from operator import attrgetter
 
 import numpy as np
 
@@ -17,10 +18,12 @@ import numpy as np
 UNSAFE = re.compile("[^\t\n\r -~\u00c0-\u00ff]")
 _L = "a-zA-ZÀ-ÖØ-öø-ÿ"
 #: The chunk patterns of the two vocabularies, restricted to SAFE.
-WORD_CHUNKS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
-BYTE_CHUNKS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
+#: Letters come first, being the most; no two alternatives before the last ones begin alike.
+WORD_CHUNKS = re.compile(rf"[{_L}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{_L}0-9]+")
+BYTE_CHUNKS = re.compile(rf" ?[{_L}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 #: Distinct chunks that a worker keeps; beyond it the table starts anew. Longer chunks are not kept.
-TABLE, CHUNK_CHARS = 800_000, 48
+TABLE, CHUNK_CHARS = 1_200_000, 48
+_ID = attrgetter("id")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,7 +50,8 @@ class Encoder:
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of one chunk, by the library's merges alone: normaliser and pattern have done their part."""
-        found = array("I", [x.id for x in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        plain = chunk.isascii() and chunk.isalpha()
+        found = array("I", map(_ID, self.model.tokenize(chunk if plain else chunk.encode().decode("latin-1").translate(self.letters)))).tobytes()
         if len(chunk) <= CHUNK_CHARS:
             self.table[chunk] = found
         return found
