@@ -20,9 +20,16 @@ def register(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+def _load() -> None:
+    """The modules of queries register them as they are imported."""
+    from tidewright.plans import evaluation, feature_queries, preparation  # noqa: F401
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
