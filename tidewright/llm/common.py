@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -26,25 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tidewright/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, *partition: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: later reads neither recompute it nor lose it with an executor."""
+def cut(df: DataFrame, small: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: later reads neither recompute it nor lose it with an executor.
+
+    small: a table of short rows after a shuffle, which goes into an eighth of the files.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
+    if small:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of at most so many characters together, one text at least."""
-    start = total = 0
-    for k, text in enumerate(texts):
-        n = len(text) if text is not None else 0
-        if k > start and total + n > limit:
-            yield start, k
-            start, total = k, 0
-        total += n
-    if start < len(texts):
-        yield start, len(texts)
+def hold(df: DataFrame) -> DataFrame:
+    """Keeps a table's rows on the executors' disks for the reads that follow; rows of a lost executor are made again.
+
+    For tables of as many partitions as the input, read several times; release() them once what needs them is written.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def release(*tables: DataFrame) -> None:
+    for t in tables:
+        t.unpersist()
 
 
 def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list], dict]], schema: str, limit: int = SLICE_CHARS) -> DataFrame:
@@ -69,7 +75,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
 
 
 def ranges_of(texts: pa.Array, limit: int) -> list[tuple[int, int]]:
-    """As slices(), by the bytes of an Arrow column."""
+    """Ranges of consecutive texts of at most so many bytes together, one text at least."""
     n = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     out, start, total = [], 0, 0
     for k, x in enumerate(n.tolist()):

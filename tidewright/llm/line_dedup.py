@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut, prefix_hash, ranges_of, span_hash
+from tidewright.llm.common import cut, hold, prefix_hash, ranges_of, release, span_hash
 
 #: Characters of a line that can lead to another document, and of an aligned block that is deleted.
 LINE_CHARS, BLOCK_CHARS = 20, 60
@@ -113,34 +113,36 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in ranges_of(batch.column(2), 2_000_000):
+            for a, b in ranges_of(batch.column(2), 500_000):
                 found = line_hashes(batch.column(2).slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.int32()))], ["id", "key", "hashes", "sizes"])
 
-    lines = cut(source.where("text IS NOT NULL").mapInArrow(split, "id bigint, key bigint, hashes array<bigint>, sizes array<int>"))
+    lines = hold(source.where("text IS NOT NULL").mapInArrow(split, "id bigint, key bigint, hashes array<bigint>, sizes array<int>"))
     long_lines = F.array_distinct(F.filter(F.transform("hashes", lambda h, k: F.when(F.get("sizes", k) >= line_chars, h)), lambda h: h.isNotNull()))
     held = lines.select("id", "key", F.explode(long_lines).alias("h"))
     # written, so that a join deals it anew and can split a line with many holders
-    first = cut(held.groupBy("h").agg(F.min(F.struct("id", "key")).alias("p"), F.max(F.struct("id", "key")).alias("q")).where("p < q").select("h", F.col("p.id").alias("p_id"), F.col("p.key").alias("p_key")))
+    first = cut(held.groupBy("h").agg(F.min(F.struct("id", "key")).alias("p"), F.max(F.struct("id", "key")).alias("q")).where("p < q").select("h", F.col("p.id").alias("p_id"), F.col("p.key").alias("p_key")), small=True)
     pairs = held.join(first, "h").where("id <> p_id OR key <> p_key").select("id", "key", "p_id", "p_key").distinct()
-    pairs = cut(pairs)
-    once = cut(lines.dropDuplicates(["id", "key"]))
-    later = pairs.join(once, ["id", "key"])
-    both = later.join(once.select(F.col("id").alias("p_id"), F.col("key").alias("p_key"), F.col("hashes").alias("p_hashes")), ["p_id", "p_key"])
+    # fully equal rows come with the same lines, and give the same deletions
+    later = pairs.join(lines, ["id", "key"])
+    both = later.join(lines.select(F.col("id").alias("p_id"), F.col("key").alias("p_key"), F.col("hashes").alias("p_hashes")), ["p_id", "p_key"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole, at in ((x, k) for x in batches for k in range(0, x.num_rows, 500)):
+            batch = whole.slice(at, 500)
             found = [common_blocks(a, b, s, block_chars) for a, s, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             keep = [k for k, x in enumerate(found) if x]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), pa.array([found[k] for k in keep], pa.list_(pa.int32()))], ["id", "key", "gone"])
 
     aligned = both.select("id", "key", "hashes", "sizes", "p_hashes").mapInArrow(align, "id bigint, key bigint, gone array<int>")
-    gone = cut(aligned.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
-    told = source.join(gone, ["id", "key"], "left").select("id", "text", "gone")
+    gone = cut(aligned.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), small=True)
+    release(lines)
+    # always by merging: whatever the size, texts stay where they are dealt to
+    told = source.join(gone.hint("merge"), ["id", "key"], "left").select("id", "text", "gone")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in ranges_of(batch.column(1), 4_000_000):
+            for a, b in ranges_of(batch.column(1), 1_000_000):
                 texts, n, m = [], [], []
                 for text, out in zip(batch.column(1).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist(), strict=True):
                     rows = text.split("\n") if text is not None else []
