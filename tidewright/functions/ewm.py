@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tidewright.functions.series import Series
@@ -73,5 +74,5 @@ def ewm_mean_gaps(df: DataFrame, spec: Series, name: str, column: str, span: flo
         frame[name] = frame[column].ewm(span=span, adjust=False).mean()
         return frame
 
-    schema = df.schema.add(name, "double")
+    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
     return df.groupBy(*spec.key).applyInPandas(run, schema)

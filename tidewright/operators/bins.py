@@ -97,7 +97,9 @@ def correlation_with(df: DataFrame, target: str, columns: list[str], method: str
     both = lambda c: F.col(c).isNotNull() & F.col(target).isNotNull()
     x = lambda c: F.when(both(c), F.col(c).cast("double"))
     y = lambda c: F.when(both(c), F.col(target).cast("double"))
-    r = lambda c: safe_divide(F.covar_samp(x(c), y(c)), F.stddev_samp(x(c)) * F.stddev_samp(y(c)))
+    # sums leave a constant column a deviation of a few ulps: bounds tell it exactly
+    varied = lambda c: (F.min(x(c)) < F.max(x(c))) & (F.min(y(c)) < F.max(y(c)))
+    r = lambda c: F.when(varied(c), safe_divide(F.covar_samp(x(c), y(c)), F.stddev_samp(x(c)) * F.stddev_samp(y(c))))
     row = df.agg(*[r(c).alias(c) for c in columns])
     return row.select(F.explode(F.create_map(*[v for c in columns for v in (F.lit(c), F.col(c))])).alias("feature", "correlation"))
 
@@ -111,8 +113,6 @@ def _kendall(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     rows = df.select(F.monotonically_increasing_id().alias("_i"), target, *columns)
     if rows.count() > KENDALL_ROWS:
         raise ValueError(f"kendall compares all pairs of rows; at most {KENDALL_ROWS} are allowed")
-    import pandas as pd
-
     data = rows.toPandas()
     found = []
     for c in columns:
@@ -121,7 +121,7 @@ def _kendall(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
         s = ((dx > 0) * 1 - (dx < 0)) * ((dy > 0) * 1 - (dy < 0))
         base = float(((dx != 0).sum() * (dy != 0).sum()) ** 0.5)
         found.append((c, float(s.sum() / base) if base else None))
-    return df.sparkSession.createDataFrame(pd.DataFrame(found, columns=["feature", "correlation"]))
+    return df.sparkSession.createDataFrame(found, "feature string, correlation double")
 
 
 def top_correlated(df: DataFrame, target: str, columns: list[str], k: int = 10, method: str = "pearson") -> DataFrame:

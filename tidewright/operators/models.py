@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -129,10 +129,11 @@ class Trees:
 
 def lag_regressor(df: DataFrame, sequence: str, label: str, length: int, width: int, regularization: float = 0.0) -> Model:
     """A linear regression on a flattened sequence: the sequence model's place without a neural network."""
-    flat = df.withColumns({f"x{i}_{j}": F.col(sequence)[i][j] for i in range(length) for j in range(width)})
     names = [f"x{i}_{j}" for i in range(length) for j in range(width)]
+    flat = ", ".join(f"{sequence}[{i}][{j}] AS x{i}_{j}" for i in range(length) for j in range(width))
+    spread = SQLTransformer(statement=f"SELECT *, {flat} FROM __THIS__")
     assembler = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, LinearRegression(featuresCol="_features", labelCol=label, regParam=regularization)]).fit(flat)
+    return Pipeline(stages=[spread, assembler, LinearRegression(featuresCol="_features", labelCol=label, regParam=regularization)]).fit(df)
 
 
 def permutation_importance(df: DataFrame, predict: Callable[[DataFrame], DataFrame], features: list[str], label: str, repeats: int = 5, seed: int = 42) -> DataFrame:

@@ -107,11 +107,14 @@ def holidays_intraday(spark, sf_dir):
 _BOOK = "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS b, l_extendedprice AS a, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE l_quantity END AS bs, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE l_linenumber END AS s FROM lineitem"
 
 
-@register("order_book", f"SELECT l_orderkey, l_linenumber, {rnd('(b + a) / 2', 'mid_price', 4)}, {rnd('a - b', 'bid_ask_spread', 4)}, {rnd('(a - b) / NULLIF((b + a) / 2, 0)', 'relative_spread', 4)}, {rnd('coalesce((b * s + a * bs) / NULLIF(s + bs, 0), (b + a) / 2)', 'wap', 4)} FROM ({_BOOK})")
+@register("order_book", f"SELECT l_orderkey, l_linenumber, {rnd('(b + a) / 2 + 1e-9', 'mid_price')}, {rnd('a - b + 1e-9', 'bid_ask_spread')}, {rnd('(a - b) / NULLIF((b + a) / 2, 0) + 1e-9', 'relative_spread')}, {rnd('coalesce((b * s + a * bs) / NULLIF(s + bs, 0), (b + a) / 2) + 1e-9', 'wap')} FROM ({_BOOK})")
 def order_book(spark, sf_dir):
     size = lambda c: F.when(F.col("l_linenumber") % 5 == 0, 0.0).otherwise(F.col(c).cast("double"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("bid_price"), F.col("l_extendedprice").alias("ask_price"), size("l_quantity").alias("bid_size"), size("l_linenumber").alias("ask_size"))
-    return out(features.order_book_features(li), ["l_orderkey", "l_linenumber"], ["mid_price", "bid_ask_spread", "relative_spread", "wap"], 4)
+    names = ["mid_price", "bid_ask_spread", "relative_spread", "wap"]
+    # many values end in a five at the seventh place; a nudge keeps two engines from rounding it differently
+    book = features.order_book_features(li).withColumns({c: F.col(c) + 1e-9 for c in names})
+    return out(book, ["l_orderkey", "l_linenumber"], names)
 
 
 _bars("momentum", lambda b: indicators.momentum(b, BARS), {"momentum": f"close - lag(close, 10) OVER ({W})"})
