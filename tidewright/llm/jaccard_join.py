@@ -1,10 +1,11 @@
 """Exact Jaccard join of documents over word n-grams, as a metric-space join, and its connected groups.
 
-The Jaccard distance is a metric. Two sets within radius r of each other share one of their first r*n+1 shingles in
-any common order of shingles (order: rare ones first), so the documents that hold a shingle there are one another's
-only possible partners by it. Among them the one of least hash is the pivot: the documents it meets this way form its
-region, a document on the boundary of several regions is replicated into each, and every possible pair lies together
-in at least one. In a region:
+The Jaccard distance is a metric. At distance 1, where most documents are from most others, pivots tell nothing, so
+regions are found through shingles: two sets within radius r of each other share several of their first shingles (a
+little over r*n of them) in any common order (frequent ones last). A document that shares fewer with all others is
+alone. Among the documents that hold a shingle there, the one of least hash is the pivot: the documents it meets this
+way form its region, a document on the boundary of several regions is replicated into each, and every possible pair
+lies together in at least one. In a region:
 
 * a document within r of the pivot is linked to it, and so needs no comparison with the others that are;
 * of the rest, two documents are compared only if their distances to every pivot so far differ by r at most (the
@@ -18,19 +19,24 @@ open; at last the open ones meet all blocks of their region. Sets are compared e
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidewright.llm.common import cut, map_texts, mix, window_hashes, word_hashes
+from tidewright.llm.common import cut, hold, map_texts, mix, ranges_of, release, window_hashes, word_hashes
 
 #: Sets of one task's region; pivots of a large region's round, and such rounds before all that is open is compared.
-BLOCK, PIVOTS, ROUNDS = 96, 32, 3
-#: Shingles held by so many prefixes count as frequent and stand last in the order; the bits that remember them.
-FREQUENT, FREQUENT_BITS, SLICES = 32, 1 << 25, 64
+BLOCK, PIVOTS, ROUNDS = 96, 32, 2
+#: Counters of the fixed-size count of shingles, and the slices it is summed in.
+COUNTERS, SLICES = 1 << 22, 64
+#: Bits of the fixed-size bitmap that says which documents' sets may be wanted.
+MEMBERS = 1 << 26
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -58,43 +64,155 @@ def set_key(x: np.ndarray) -> int:
         return int(mix(h + total[2]).view(np.int64)[0])
 
 
-def prefix(x: np.ndarray, similarity: int, frequent: np.ndarray | None = None) -> np.ndarray:
-    """The first n - ceil(similarity * n) + 1 shingles, infrequent ones before frequent ones, by hash among each."""
+def least_overlap(n: int, similarity: int) -> int:
+    """Shingles that a set of n shares at least with any set it is linked to; also the least size of such a set."""
+    return (similarity * n + 99) // 100
+
+
+def spare(n: int) -> int:
+    """By how much a prefix is longer than it must be; so many of its shingles are then shared with any linked set."""
+    return 1 + n // 20
+
+
+def prefix(x: np.ndarray, similarity: int, frequent: np.ndarray) -> np.ndarray:
+    """The first n - least_overlap + spare shingles: infrequent ones before frequent ones, by hash among each."""
     n = len(x)
     if not n:
         return x
-    size = n - (similarity * n + 99) // 100 + 1
-    if frequent is not None:
-        bit = x % np.uint64(FREQUENT_BITS)
-        late = (frequent[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-        x = x[np.argsort(late, kind="stable")]
-    return x[:size]
+    at = x & np.uint64(COUNTERS - 1)
+    late = (frequent[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+    return x[np.argsort(late, kind="stable")][: n - least_overlap(n, similarity) + spare(n)]
+
+
+def _batch(arrays: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
+
+
+def _count_shingles(source: DataFrame, words: int) -> DataFrame:
+    """Rows of two kinds from one pass: (doc_id, n, node) of each document, and slices of each task's shingle counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.uint16)
+        part = COUNTERS // SLICES
+        for batch in batches:
+            for a, b in ranges_of(batch.column(1), 400_000):
+                sets = shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), words)
+                for x in sets:
+                    at = (x & np.uint64(COUNTERS - 1)).astype(np.int64)
+                    counts[at] += counts[at] < 65535  # a set holds a shingle once
+                m = b - a
+                yield _batch({"doc_id": batch.column(0).slice(a, m), "n": pa.array([len(x) for x in sets], pa.int64()), "node": pa.array([set_key(x) if len(x) else None for x in sets], pa.int64()), "slice": pa.nulls(m, pa.int32()), "counts": pa.nulls(m, pa.binary())})
+        used = [k for k in range(SLICES) if counts[k * part : (k + 1) * part].any()]
+        m = len(used)
+        yield _batch({"doc_id": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int64()), "node": pa.nulls(m, pa.int64()), "slice": pa.array(used, pa.int32()), "counts": pa.array([zlib.compress(counts[k * part : (k + 1) * part].tobytes(), 1) for k in used], pa.binary())})
+
+    return hold(source.mapInArrow(run, "doc_id bigint, n bigint, node bigint, slice int, counts binary"))
 
 
-def _frequent_bits(prefixes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the shingles that many prefixes hold; collisions only change the order."""
-    counts = prefixes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    # the high bits are the least significant of the unsigned hash: position = hash modulo a power of two
-    at = counts.select(F.col("s").bitwiseAND(F.lit(FREQUENT_BITS - 1)).alias("bit"))
-    part = FREQUENT_BITS // SLICES
+def _frequent_bits(counted: DataFrame) -> np.ndarray:
+    """A bit for each counter that stands out from the mean; which shingles share one only changes the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[int, np.ndarray] = {}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            bits = np.asarray(batch.column(0))
-            for s in np.unique(bits // part).tolist():
-                own = slices.setdefault(s, np.zeros(part, bool))
-                own[bits[bits // part == s] - s * part] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in slices.values()], pa.binary())], ["slice", "bits"])
-
-    out = np.zeros(FREQUENT_BITS // 8, np.uint8)
-    slices = at.withColumn("slice", F.floor(F.col("bit") / part)).repartition(SLICES, "slice").select("bit").mapInArrow(run, "slice int, bits binary")
-    for row in slices.toLocalIterator():
-        a = row.slice * (part // 8)
-        out[a : a + part // 8] |= np.frombuffer(row.bits, np.uint8)
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                more = np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint16)
+                total[k] = total[k] + more if k in total else more.astype(np.int64)
+        bits = [np.packbits(x >= x.mean() + max(32.0, 8 * x.mean() ** 0.5), bitorder="little").tobytes() for x in total.values()]
+        yield _batch({"slice": pa.array(list(total), pa.int32()), "bits": pa.array(bits, pa.binary())})
+
+    slices = counted.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(run, "slice int, bits binary")
+    return _joined_bits(slices, COUNTERS)
+
+
+def _joined_bits(slices: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of n bits in all from its slices."""
+    out = np.zeros(n // 8, np.uint8)
+    size = len(out) // SLICES
+    for row in slices.collect():
+        out[row.slice * size : (row.slice + 1) * size] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
+def _member_bits(places: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over places 0..MEMBERS-1: what is in the table, and by chance some of what is not."""
+    part = MEMBERS // SLICES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.asarray(batch.column(0))
+            for k in np.unique(at // part).tolist():
+                found.setdefault(k, np.zeros(part, bool))[at[at // part == k] - k * part] = True
+        yield _batch({"slice": pa.array(list(found), pa.int32()), "bits": pa.array([np.packbits(x, bitorder="little").tobytes() for x in found.values()], pa.binary())})
+
+    slices = places.select(places.columns[0], F.floor(F.col(places.columns[0]) / part).alias("k")).repartition(SLICES, "k")
+    return _joined_bits(slices.select(places.columns[0]).mapInArrow(run, "slice int, bits binary"), MEMBERS)
+
+
+def _shared_postings(source: DataFrame, words: int, similarity: int, frequent) -> DataFrame:
+    """(s, node, least): shingles of prefixes that another node's prefix holds too, and how many of them a node needs."""
+    spark = source.sparkSession
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = frequent.value
+        held: dict[int, tuple[np.ndarray, int]] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            nodes = np.array(list(held), np.int64)
+            need = np.array([v[1] for v in held.values()], np.int64)
+            s = np.concatenate([v[0] for v in held.values()])
+            index = np.repeat(np.arange(len(nodes)), [len(v[0]) for v in held.values()])
+            bucket = ((s >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for k in range(buckets):
+                at = order[edges[k] : edges[k + 1]]
+                if len(at):
+                    own, place = np.unique(index[at], return_inverse=True)
+                    rows.append((k, pickle.dumps((s[at], place.astype(np.uint32), nodes[own], need[own].astype(np.int32)), protocol=5)))
+            return _batch({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+        for batch in batches:
+            for a, b in ranges_of(batch.column(0), 400_000):
+                for x in shingle_sets(batch.column(0).slice(a, b - a).to_pylist(), words):
+                    if len(x) and (key := set_key(x)) not in held:
+                        held[key] = prefix(x, similarity, bits), spare(least_overlap(len(x), similarity))
+                        size += len(held[key][0])
+                if size >= 1_000_000:
+                    yield out()
+                    held.clear()
+                    size = 0
+        if held:
+            yield out()
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                blobs.setdefault(k, []).append(pickle.loads(blob.as_buffer()))
+        for found in blobs.values():
+            s = np.concatenate([f[0] for f in found])
+            node = np.concatenate([f[2][f[1]] for f in found])
+            need = np.concatenate([f[3][f[1]] for f in found])
+            order = np.lexsort((node, s))
+            s, node, need = s[order], node[order], need[order]
+            new = np.concatenate([[True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])])
+            s, node, need = s[new], node[new], need[new]
+            same = s[1:] == s[:-1]
+            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            kept = np.flatnonzero(keep)
+            for a in range(0, len(kept), 100_000):
+                at = kept[a : a + 100_000]
+                yield _batch({"s": pa.array(s[at].view(np.int64)), "node": pa.array(node[at]), "least": pa.array(need[at], pa.int32())})
+
+    dealt = source.select("text").mapInArrow(emit, "bucket int, blob binary").repartition(buckets, "bucket")
+    return hold(dealt.mapInArrow(match, "s bigint, node bigint, least int"))
+
+
 def shared_with(pivot: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """How many shingles of a pivot each set holds; the sets stand one after another in ``flat``, none of them empty."""
     at = np.searchsorted(pivot, flat)
@@ -150,13 +268,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round takes the least label among neighbours and then follows labels twice as far; it ends when none changes.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    turned = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = cut(edges.select(turned.alias("e")).select("e.a", "e.b").distinct(), small=True)
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), small=True)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         moved = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = cut(moved.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        new = cut(moved.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), small=True)
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
             return labels
@@ -188,7 +307,7 @@ def _compare_cells(cells: DataFrame, similarity: int) -> DataFrame:
                 first = lead.index(1) if 1 in lead else 0
                 order = [first, *(i for i in range(len(sets)) if i != first)]
                 region = Region([sets[i] for i in order], similarity)
-                links = [(node[order[a]], node[order[b]]) for a, b in region.resolve()]
+                links = [(node[order[a]], node[order[b]]) for a, b in region.resolve() if node[order[a]] != node[order[b]]]
             else:
                 n_lead = sum(lead)  # leads sort first
                 region = Region(sets, similarity)
@@ -200,8 +319,7 @@ def _compare_cells(cells: DataFrame, similarity: int) -> DataFrame:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
-    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cells.select("region", "cell", "whole", "lead", "node", "blob").repartition(n, "region", "cell").sortWithinPartitions("region", "cell", F.desc("lead"), "node")
+    rows = cells.select("region", "cell", "whole", "lead", "node", "blob").repartition("region", "cell").sortWithinPartitions("region", "cell", F.desc("lead"), "node")
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -214,86 +332,91 @@ def link_documents(docs: DataFrame, words: int = 5, similarity: int = 80, id_col
     """
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     spark = docs.sparkSession
-
-    def sketch(frequent=None):
-        def make():
-            bits = frequent.value if frequent is not None else None
-
-            def run(texts):
-                sets = shingle_sets(texts, words)
-                return {"n": [len(x) for x in sets], "node": [set_key(x) if len(x) else None for x in sets], "prefix": [prefix(x, similarity, bits).view(np.int64) for x in sets]}
-
-            return run
-
-        return map_texts(source, ["doc_id"], "text", make, "n bigint, node bigint, prefix array<bigint>", limit=1_000_000)
-
-    members = cut(sketch())
-    frequent = spark.sparkContext.broadcast(_frequent_bits(members.where("n > 0").dropDuplicates(["node"])))
-    ordered = sketch(frequent).where("n > 0").select("node", "prefix").dropDuplicates(["node"])
-    postings = cut(ordered.select(F.explode("prefix").alias("s"), "node"))
-    pivots = postings.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("s", "pivot")
-    met = postings.join(pivots, "s").where("node <> pivot").select("pivot", "node").distinct()
-    met = cut(met)
-    sizes = met.groupBy(F.col("pivot").alias("region")).agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK))
-    met = met.withColumnRenamed("pivot", "region").join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("node", "region"), F.col("blocks")))
-
-    # the sets of all nodes that lie in a region, from the text of one document each
-    wanted = met.select("node").union(sizes.select("region")).distinct()
-    chosen = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi").select("doc_id").distinct()
-
-    def sets():
-        def run(texts):
-            found = shingle_sets(texts, words)
-            return {"node": [set_key(x) if len(x) else None for x in found], "blob": [x.tobytes() for x in found]}
-
-        return run
-
-    texts = source.join(chosen, source["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
-    blobs = cut(map_texts(texts, ["doc_id"], "text", sets, "node bigint, blob binary", limit=1_000_000).select("node", "blob"))
-    blobs = blobs.where("node IS NOT NULL").dropDuplicates(["node"])
-
-    placed = cut(met.join(blobs, "node").select("region", "block", "blocks", "node", "blob"))
-    leads = sizes.join(blobs.withColumnRenamed("node", "region"), "region").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cell"), "blocks", F.col("region").alias("node"), "blob", F.lit(1).alias("lead"))
-    first = leads.unionByName(placed.withColumnRenamed("block", "cell").withColumn("lead", F.lit(0))).withColumn("whole", F.col("blocks") == 1)
-    links = cut(_compare_cells(first, similarity))
-
+    counted = _count_shingles(source, words)
+    members = counted.where("slice IS NULL").select("doc_id", "n", "node")
+    frequent = spark.sparkContext.broadcast(_frequent_bits(counted))
+    shared = _shared_postings(source, words, similarity, frequent)
+    enough = shared.groupBy("node").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("node")
+    postings = cut(shared.join(cut(enough, small=True).hint("merge"), "node", "left_semi"))
+    release(shared)
+    # written aggregates are dealt anew for a join, so that a key with many rows can be split there
+    pivots = cut(postings.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("s", "pivot"), small=True)
+    # Linked nodes share ``least`` shingles or more, counted from either side. If each side leaves regions with fewer than
+    # half as many of its shingles, one shared shingle remains whose region both keep: chance meetings go, links stay.
+    joined = postings.join(pivots, "s").groupBy("pivot", "node").agg(F.count("*").alias("n"), F.max("least").alias("least"))
+    left_out = F.sum("n").over(Window.partitionBy("node").orderBy((F.col("pivot") == F.col("node")).cast("int"), "n", "pivot"))
+    met = joined.withColumn("out", left_out).where((F.col("pivot") != F.col("node")) & (2 * F.col("out") >= F.col("least"))).select("pivot", "node")
+    met = cut(met, small=True)
+    sizes = cut(met.groupBy(F.col("pivot").alias("region")).agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK)), small=True)
+    met = met.withColumnRenamed("pivot", "region").union(sizes.select("region", F.col("region").alias("node")))
+    # the sets of all nodes that lie in a region, from the text of one document each: the bitmap spares reading most
+    # others, and those that it lets through by chance find no node to join
+    wanted = met.select("node").distinct()
+    chosen = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(MEMBERS - 1))
+    in_regions = spark.sparkContext.broadcast(_member_bits(chosen.select(place.alias("place"))))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = in_regions.value
+        for batch in batches:
+            at = np.asarray(batch.column(0))
+            held = batch.column(1).filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            for a, b in ranges_of(held, 400_000):
+                found = [x for x in shingle_sets(held.slice(a, b - a).to_pylist(), words) if len(x)]
+                yield _batch({"node": pa.array([set_key(x) for x in found], pa.int64()), "blob": pa.array([x.tobytes() for x in found], pa.binary())})
+
+    blobs = source.select(place.alias("place"), "text").mapInArrow(sets, "node bigint, blob binary")
+    # a node that comes twice is linked with itself, which adds nothing; dealt by node at last, so that joins by region
+    # deal rows anew and can split a large one
+    placed = met.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("node", "region"), F.col("blocks"))).join(blobs.hint("merge"), "node")
+    placed = hold(placed.select("region", "block", "blocks", "node", "blob"))
+    is_lead = F.col("node") == F.col("region")
+    block = F.when(is_lead, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    first = placed.select("region", F.explode(block).alias("cell"), (F.col("blocks") == 1).alias("whole"), is_lead.cast("int").alias("lead"), "node", "blob")
+    labels = components(_compare_cells(first, similarity))
     large = placed.where("blocks > 1")
     if not large.isEmpty():
-        links = _large_regions(large, links, similarity)
-    labels = components(links)
+        labels = _large_regions(large, labels, similarity)
     labelled = members.join(labels.withColumnRenamed("label", "found"), "node", "left").withColumn("label", F.coalesce("found", "node"))
     labelled = cut(labelled.select("doc_id", F.col("n").alias("n_shingles"), "label"))
-    least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
+    least = cut(labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least")), small=True)
+    release(counted, placed)
     return labelled.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _large_regions(large: DataFrame, links: DataFrame, similarity: int) -> DataFrame:
-    """Links of regions of several blocks beside those given, which join each member with its region's first pivot."""
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: only links between different labels count, and those once each."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    named = links.join(of("a"), "a", "left").select("b", F.coalesce("la", "a").alias("a"))
+    named = named.join(of("b"), "b", "left").select("a", F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    joined = components(named)
+    renamed = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return cut(renamed.union(joined.join(labels, "node", "left_anti")), small=True)
+
+
+def _large_regions(large: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+    """Labels once regions of several blocks are resolved; so far each member has met its region's first pivot."""
     used = None
     for turn in range(ROUNDS + 1):
-        labels = components(links)
         of = large.select("region", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         main = labels.select(F.col("node").alias("region"), F.col("label").alias("main"))
-        apart = of.join(main, "region", "left").where(F.col("main").isNull() | (F.col("label") != F.col("main"))).select("region", "node")
+        apart = of.join(main, "region", "left").where(F.col("main").isNull() | (F.col("label") != F.col("main"))).where("node <> region").select("region", "node")
         if used is not None:
             apart = apart.join(used, ["region", "node"], "left_anti")
-        apart = cut(apart)
+        apart = cut(apart.distinct(), small=True)
         if apart.isEmpty():
-            return links
+            return labels
         last = turn == ROUNDS
-        n_open = apart.groupBy("region").agg(F.count("*").alias("n_open"))
+        n_open = cut(apart.groupBy("region").agg(F.count("*").alias("n_open")), small=True)
         lots = F.ceil(F.col("n_open") / PIVOTS)
         lot = apart.join(n_open, "region").withColumn("lots", lots).withColumn("lot", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("lots")))
-        chosen = cut((lot if last else lot.where("lot = 0")).select("region", "node", "lot"))
+        chosen = cut((lot if last else lot.where("lot = 0")).select("region", "node", "lot"), small=True)
         # every block of a region meets every lot of its pivots: blocks against a stated set, never all pairs of rows
-        blob = large.select("region", "node", "blob", "blocks")
-        leads = chosen.join(blob, ["region", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        per_region = chosen.select("region", "lot").distinct()
+        per_region = cut(chosen.select("region", "lot").distinct(), small=True)
+        leads = chosen.join(large.select("region", "node", "blob", "blocks"), ["region", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         follow = large.select("region", "node", "blob", "block").join(per_region, "region")
         cells = leads.select("region", "lot", "block", "node", "blob", F.lit(1).alias("lead")).unionByName(follow.select("region", "lot", "block", "node", "blob", F.lit(0).alias("lead")))
         cells = cells.withColumn("cell", F.col("lot") * (1 << 32) + F.col("block")).withColumn("whole", F.lit(False))
-        links = cut(links.union(_compare_cells(cells, similarity)))
+        labels = _merge(labels, _compare_cells(cells, similarity))
         used = chosen.select("region", "node") if used is None else used.union(chosen.select("region", "node"))
-        if last:
-            return links
-    return links
+    return labels

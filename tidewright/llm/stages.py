@@ -25,7 +25,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     from tidewright.llm.jaccard_join import link_documents
 
     groups = link_documents(docs, words=5, similarity=80).where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(groups.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """The documents that have a new text, with it and its length in place of the old ones."""
     new = texts.groupBy("doc_id").agg(F.first("text").alias("_new"))
-    kept = docs.drop("text").join(new, "doc_id").withColumn("text", F.col("_new"))
+    kept = docs.drop("text").join(new.hint("merge"), "doc_id").withColumn("text", F.col("_new"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
