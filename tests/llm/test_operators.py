@@ -299,7 +299,8 @@ def test_suffix_dedup_long_texts(spark, monkeypatch):
 
 
 def test_repeated_documents_with_equal_ids(spark):
-    t = "".join(random.Random(1).choice("abcdef ") for _ in range(500))
+    r = random.Random(1)
+    t = "".join(r.choice("abcdef ") for _ in range(500))
     got = suffix_dedup.remove_repeats(docs_of(spark, [(7, t), (7, t), (8, t)])).orderBy("doc_id").collect()
     assert [x.n_removed for x in got] == [0, 0, 500]
 
