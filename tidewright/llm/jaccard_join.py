@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewright.llm.common import cut, hold, map_texts, mix, ranges_of, release, window_hashes, word_hashes
+from tidewright.llm.common import cut, hold, map_texts, mix, ranges_of, release, tidied, window_hashes, word_hashes
 
 #: Sets of one task's region; pivots of a large region's round, and such rounds before all that is open is compared.
 BLOCK, PIVOTS, ROUNDS = 96, 32, 2
@@ -106,7 +106,7 @@ def _count_shingles(source: DataFrame, words: int) -> DataFrame:
         m = len(used)
         yield _batch({"doc_id": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int64()), "node": pa.nulls(m, pa.int64()), "slice": pa.array(used, pa.int32()), "counts": pa.array([zlib.compress(counts[k * part : (k + 1) * part].tobytes(), 1) for k in used], pa.binary())})
 
-    return hold(source.mapInArrow(run, "doc_id bigint, n bigint, node bigint, slice int, counts binary"))
+    return hold(source.mapInArrow(tidied(run), "doc_id bigint, n bigint, node bigint, slice int, counts binary"))
 
 
 def _frequent_bits(counted: DataFrame) -> np.ndarray:
@@ -121,7 +121,7 @@ def _frequent_bits(counted: DataFrame) -> np.ndarray:
         bits = [np.packbits(x >= x.mean() + max(32.0, 8 * x.mean() ** 0.5), bitorder="little").tobytes() for x in total.values()]
         yield _batch({"slice": pa.array(list(total), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
-    slices = counted.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(run, "slice int, bits binary")
+    slices = counted.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(tidied(run), "slice int, bits binary")
     return _joined_bits(slices, COUNTERS)
 
 
@@ -147,7 +147,7 @@ def _member_bits(places: DataFrame) -> np.ndarray:
         yield _batch({"slice": pa.array(list(found), pa.int32()), "bits": pa.array([np.packbits(x, bitorder="little").tobytes() for x in found.values()], pa.binary())})
 
     slices = places.select(places.columns[0], F.floor(F.col(places.columns[0]) / part).alias("k")).repartition(SLICES, "k")
-    return _joined_bits(slices.select(places.columns[0]).mapInArrow(run, "slice int, bits binary"), MEMBERS)
+    return _joined_bits(slices.select(places.columns[0]).mapInArrow(tidied(run), "slice int, bits binary"), MEMBERS)
 
 
 def _shared_postings(source: DataFrame, words: int, similarity: int, frequent) -> DataFrame:
@@ -209,8 +209,8 @@ def _shared_postings(source: DataFrame, words: int, similarity: int, frequent) -
                 at = kept[a : a + 100_000]
                 yield _batch({"s": pa.array(s[at].view(np.int64)), "node": pa.array(node[at]), "least": pa.array(need[at], pa.int32())})
 
-    dealt = source.select("text").mapInArrow(emit, "bucket int, blob binary").repartition(buckets, "bucket")
-    return hold(dealt.mapInArrow(match, "s bigint, node bigint, least int"))
+    dealt = source.select("text").mapInArrow(tidied(emit), "bucket int, blob binary").repartition(buckets, "bucket")
+    return hold(dealt.mapInArrow(tidied(match), "s bigint, node bigint, least int"))
 
 
 def shared_with(pivot: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -320,7 +320,7 @@ def _compare_cells(cells: DataFrame, similarity: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     rows = cells.select("region", "cell", "whole", "lead", "node", "blob").repartition("region", "cell").sortWithinPartitions("region", "cell", F.desc("lead"), "node")
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def link_documents(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,7 +365,7 @@ def link_documents(docs: DataFrame, words: int = 5, similarity: int = 80, id_col
                 found = [x for x in shingle_sets(held.slice(a, b - a).to_pylist(), words) if len(x)]
                 yield _batch({"node": pa.array([set_key(x) for x in found], pa.int64()), "blob": pa.array([x.tobytes() for x in found], pa.binary())})
 
-    blobs = source.select(place.alias("place"), "text").mapInArrow(sets, "node bigint, blob binary")
+    blobs = source.select(place.alias("place"), "text").mapInArrow(tidied(sets), "node bigint, blob binary")
     # a node that comes twice is linked with itself, which adds nothing; dealt by node at last, so that joins by region
     # deal rows anew and can split a large one
     placed = met.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("node", "region"), F.col("blocks"))).join(blobs.hint("merge"), "node")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut, hold, prefix_hash, ranges_of, release, span_hash
+from tidewright.llm.common import cut, hold, prefix_hash, ranges_of, release, span_hash, tidied
 
 #: Characters of a line that can lead to another document, and of an aligned block that is deleted.
 LINE_CHARS, BLOCK_CHARS = 20, 60
@@ -117,7 +117,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found = line_hashes(batch.column(2).slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.int32()))], ["id", "key", "hashes", "sizes"])
 
-    lines = hold(source.where("text IS NOT NULL").mapInArrow(split, "id bigint, key bigint, hashes array<bigint>, sizes array<int>"))
+    lines = hold(source.where("text IS NOT NULL").mapInArrow(tidied(split), "id bigint, key bigint, hashes array<bigint>, sizes array<int>"))
     long_lines = F.array_distinct(F.filter(F.transform("hashes", lambda h, k: F.when(F.get("sizes", k) >= line_chars, h)), lambda h: h.isNotNull()))
     held = lines.select("id", "key", F.explode(long_lines).alias("h"))
     # written, so that a join deals it anew and can split a line with many holders
@@ -134,7 +134,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             keep = [k for k, x in enumerate(found) if x]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), pa.array([found[k] for k in keep], pa.list_(pa.int32()))], ["id", "key", "gone"])
 
-    aligned = both.select("id", "key", "hashes", "sizes", "p_hashes").mapInArrow(align, "id bigint, key bigint, gone array<int>")
+    aligned = both.select("id", "key", "hashes", "sizes", "p_hashes").mapInArrow(tidied(align), "id bigint, key bigint, gone array<int>")
     gone = cut(aligned.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), small=True)
     release(lines)
     # always by merging: whatever the size, texts stay where they are dealt to
@@ -152,7 +152,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     texts.append(text if not dropped else "\n".join(x for k, x in enumerate(rows) if k not in dropped))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(texts, pa.string())], ["id", "n_lines", "n_removed", "text"])
 
-    return told.mapInArrow(rebuild, "id bigint, n_lines bigint, n_removed bigint, text string").select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_lines", "n_removed", "text")
+    return told.mapInArrow(tidied(rebuild), "id bigint, n_lines bigint, n_removed bigint, text string").select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_lines", "n_removed", "text")
 
 
 def sha256(text: str) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut, mix, ranges_of
+from tidewright.llm.common import cut, mix, ranges_of, tidied
 from tidewright.llm.tokens import encoder
 
 WINDOW = 4096
@@ -50,7 +50,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, kind: str, end_id: int, id
                 arrays = [batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()), pa.array([x.astype("<u2").tobytes() if short(x) else x.tobytes() for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "h1", "h2", "ids"])
 
-    return cut(wanted.mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, ids binary"))
+    return cut(wanted.mapInArrow(tidied(run), "doc_id bigint, n bigint, h1 bigint, h2 bigint, ids binary"))
 
 
 def short(ids: np.ndarray) -> bool:
@@ -75,7 +75,7 @@ def term_counts(encoded: DataFrame) -> np.ndarray:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["term", "n"])
 
-    rows = encoded.select("n", "ids").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    rows = encoded.select("n", "ids").mapInArrow(tidied(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(rows["term"].max()) + 1 if len(rows) else 1, np.int64)
     out[rows["term"].to_numpy(np.int64)] = rows["n"].to_numpy()
     return out
@@ -245,4 +245,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id:
         packer.finish()
         yield rows()
 
-    return dealt.mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * ids)
+    return dealt.mapInArrow(tidied(run), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * ids)

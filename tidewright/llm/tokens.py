@@ -22,7 +22,7 @@ _L = "a-zA-ZÀ-ÖØ-öø-ÿ"
 WORD_CHUNKS = re.compile(rf"[{_L}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{_L}0-9]+")
 BYTE_CHUNKS = re.compile(rf" ?[{_L}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 #: Distinct chunks that a worker keeps; beyond it the table starts anew. Longer chunks are not kept.
-TABLE, CHUNK_CHARS = 1_200_000, 48
+TABLE, CHUNK_CHARS = 1_000_000, 48
 _ID = attrgetter("id")
 
 

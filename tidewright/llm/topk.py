@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewright.llm.common import cut
+from tidewright.llm.common import cut, tidied
 
 SHARD, BLOCK, LEAF = 1024, 512, 64
 #: Shards that one task searches in a row for a block, each starting from the k-th scores of those before.
@@ -139,8 +139,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
 
         return run
 
-    trees = cut(points.mapInArrow(pack(BallTree), "key bigint, blob binary").withColumnsRenamed({"key": "shard", "blob": "tree"}))
-    groups = cut(asked.mapInArrow(pack(lambda i, v: (i, v)), "key bigint, blob binary").withColumnsRenamed({"key": "block", "blob": "queries"}))
+    trees = cut(points.mapInArrow(tidied(pack(BallTree)), "key bigint, blob binary").withColumnsRenamed({"key": "shard", "blob": "tree"}))
+    groups = cut(asked.mapInArrow(tidied(pack(lambda i, v: (i, v))), "key bigint, blob binary").withColumnsRenamed({"key": "block", "blob": "queries"}))
 
     def nothing(m: int) -> tuple[np.ndarray, np.ndarray]:
         return np.full((m, k), NONE, np.int64), np.zeros((m, k), np.int64)
@@ -176,10 +176,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "floor"])
 
     home = groups.withColumn("shard", F.pmod("block", F.lit(shards))).join(trees, "shard").select("block", "tree", "queries").repartition(blocks, "block")
-    known = groups.join(cut(home.mapInArrow(floors, "block bigint, floor binary")), "block", "left")
+    known = groups.join(cut(home.mapInArrow(tidied(floors), "block bigint, floor binary")), "block", "left")
     met = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))).join(trees, "shard").withColumn("run", F.floor(F.col("shard") / RUN))
     runs = -(-shards // RUN) * blocks
     hits = met.repartition(min(runs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), runs // 4)), "run", "block").sortWithinPartitions("run", "block", "shard")
-    hits = hits.select("run", "block", "tree", "queries", "floor").mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    hits = hits.select("run", "block", "tree", "queries", "floor").mapInArrow(tidied(search), "query_id bigint, vec_id bigint, score bigint")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
