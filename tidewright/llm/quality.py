@@ -131,7 +131,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     Repeated rows are judged each for itself.
     """
     schema = ", ".join(f"{k} bigint" for k in COUNTS)
-    counted = cut(vote(map_texts(docs, [id_col], text_col, lambda: count_texts, schema, limit=1_500_000)))
+    counted = cut(vote(map_texts(docs, [id_col], text_col, lambda: count_texts, schema, limit=600_000)))
     found = counted.groupBy("votes").count().collect()  # at most 3**N_RULES rows
     patterns = np.array([r[0] for r in found], np.int64)
     if len(found):
