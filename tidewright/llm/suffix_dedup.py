@@ -22,14 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import _BYTE, cut, mix, powers, shared_dir
+from tidewright.llm.common import _BYTE, hold, mix, powers, shared_dir, tidied
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a written part, bytes hashed at a time, suffixes of a queue.
-PART_BYTES, CHUNK, QUEUE = 6_000_000, 1_000_000, 40_000
+PART_BYTES, CHUNK, QUEUE = 10_000_000, 1_000_000, 40_000
 _PLACE = 24  # bits of a place in a chunk; the other 40 are the anchor's hash
 
 
@@ -155,8 +156,19 @@ def join_spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.stack([start[head], reach[np.append(head[1:], len(start)) - 1]], axis=1)
 
 
+def _dump(x) -> bytes:
+    return zstandard.compress(pickle.dumps(x, protocol=5), 1)
+
+
+def _load(blob: bytes):
+    return pickle.loads(zstandard.decompress(blob))
+
+
 def _pack(key: np.ndarray, make) -> list[tuple[int, bytes]]:
-    return [(int(k), pickle.dumps(make(np.flatnonzero(key == k)), protocol=5)) for k in np.unique(key)]
+    """What make() has for the rows of each key, as a blob."""
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.diff(key[order])) + 1
+    return [(int(key[rows[0]]), _dump(make(rows))) for rows in np.split(order, cuts) if len(rows)]
 
 
 def _batch(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
@@ -199,10 +211,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(docs[text_col], F.lit(""))
     source = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(16, -(-total // PART_BYTES))
+    buckets = max(16, -(-total // PART_BYTES))
+    # parts are made where the rows are: no shuffle, each input partition cut by a hash of its rows into parts of bounded size
+    inputs = max(1, source.rdd.getNumPartitions())
+    each = max(1, -(-total // (PART_BYTES * inputs)))
+    parts = inputs * each
     folder = shared_dir(spark)
-    part = F.pmod(F.xxhash64("id", "hash"), F.lit(parts)).cast("int").alias("part")
-    source.select(part, "*").repartition(parts, "part").write.partitionBy("part").option("compression", "zstd").parquet(folder)
+    part = (F.spark_partition_id() * each + F.pmod(F.xxhash64("id", "hash"), F.lit(each))).cast("int").alias("part")
+    source.select(part, "*").write.partitionBy("part").option("compression", "zstd").parquet(folder)
     written = spark.read.schema("id bigint, hash bigint, text string, part int").parquet(folder)
     every = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(None).cast("binary").alias("blob"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -221,7 +237,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 used, index = np.unique(doc[rows], return_inverse=True)
                 return h[rows], docs_[used], index.astype(np.uint32), place[rows].astype(np.uint32)
 
-            return _batch(_pack((h % np.uint64(parts)).astype(np.int64), one), types, names)
+            return _batch(_pack((h % np.uint64(buckets)).astype(np.int64), one), types, names)
 
         size = 0
         for batch in batches:
@@ -242,7 +258,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         buckets: dict[int, list] = {}
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                buckets.setdefault(k, []).append(pickle.loads(blob))
+                buckets.setdefault(k, []).append(_load(blob))
         for found in buckets.values():
             h = np.concatenate([x[0] for x in found])
             values, times = np.unique(h, return_counts=True)
@@ -254,10 +270,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if len(keep):
                     part_of = docs_[index[keep], 0]
                     out += _pack(part_of, lambda rows, keep=keep, docs_=docs_, index=index, place=place: (docs_[index[keep[rows]], 1:], place[keep[rows]]))
-            yield _batch([(k, len(pickle.loads(b)[1]), b) for k, b in out], [pa.int32(), pa.int64(), pa.binary()], ["part", "n", "blob"])
+            yield _batch([(k, len(_load(b)[1]), b) for k, b in out], [pa.int32(), pa.int64(), pa.binary()], ["part", "n", "blob"])
 
-    sampled = written.mapInArrow(sample, "bucket int, blob binary").repartition(min(tasks, parts) if tasks > 1 else parts, "bucket")
-    hints = cut(sampled.mapInArrow(repeated, "part int, n bigint, blob binary"))
+    sampled = written.mapInArrow(tidied(sample), "bucket int, blob binary").repartition(min(tasks, buckets), "bucket")
+    hints = hold(sampled.mapInArrow(tidied(repeated), "part int, n bigint, blob binary"))
     n_hints = hints.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     queues = max(16, -(-n_hints // QUEUE))
 
@@ -266,7 +282,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         by_part: dict[int, list] = {}
         for batch in batches:
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_part.setdefault(p, []).extend([pickle.loads(blob)] if blob is not None else [])
+                by_part.setdefault(p, []).extend([_load(blob)] if blob is not None else [])
         for p, found in by_part.items():
             if not found:
                 continue
@@ -314,7 +330,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield _batch([(0, k, b) for k, b in _pack(queue, lambda at, rows=rows, p=p: (p, [rows[i][:3] for i in at]))], types, names)
             if spans:
                 marked = [(k, join_spans(*np.array(v, np.int64).T)) for k, v in spans.items()]
-                yield _batch([(1, p, pickle.dumps(marked, protocol=5))], types, names)
+                yield _batch([(1, p, _dump(marked))], types, names)
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queue: dict[int, list] = {}
@@ -324,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for blobs in queue.values():
             suffixes, part_of = [], []
             for blob in blobs:
-                p, rows = pickle.loads(blob)
+                p, rows = _load(blob)
                 suffixes += [(key, context, place, 0, len(context) - LENGTH) for key, context, place in rows]
                 part_of += [p] * len(rows)
             if len(suffixes) < 2:
@@ -341,11 +357,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for r, a, b in zip(row[head].tolist(), start[head].tolist(), end.tolist(), strict=True):
                 *own, base = suffixes[r][0]
                 by_part.setdefault(part_of[r], {}).setdefault(tuple(own), []).append((a + base, b + base))
-            yield _batch([(p, pickle.dumps([(k, np.array(v, np.int64)) for k, v in m.items()], protocol=5)) for p, m in by_part.items()], [pa.int32(), pa.binary()], ["part", "blob"])
+            yield _batch([(p, _dump([(k, np.array(v, np.int64)) for k, v in m.items()])) for p, m in by_part.items()], [pa.int32(), pa.binary()], ["part", "blob"])
 
     hinted = hints.select("part", "blob").union(every).repartition(max(tasks, 1), "part")
-    collected = cut(hinted.mapInArrow(collect, "kind int, key int, blob binary"))
-    induced = collected.where("kind = 0").select("key", "blob").repartition(max(tasks, 1), "key").mapInArrow(induce, "part int, blob binary")
+    collected = hold(hinted.mapInArrow(tidied(collect), "kind int, key int, blob binary"))
+    induced = collected.where("kind = 0").select("key", "blob").repartition(max(tasks, 1), "key").mapInArrow(tidied(induce), "part int, blob binary")
     spans = induced.union(collected.where("kind = 1").select(F.col("key").alias("part"), "blob")).union(every)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
 
@@ -354,7 +370,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = by_part.setdefault(p, {})
-                for k, v in pickle.loads(blob) if blob is not None else []:
+                for k, v in _load(blob) if blob is not None else []:
                     own.setdefault(k, []).append(v)
         types = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
@@ -376,4 +392,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if out:
                 yield _batch(out, types, names)
 
-    return spans.repartition(max(tasks, 1), "part").mapInArrow(apply, schema)
+    return spans.repartition(max(tasks, 1), "part").mapInArrow(tidied(apply), schema)
