@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewright.llm.common import cut, ranges_of
+from tidewright.llm.common import cut, ranges_of, tidied
 from tidewright.llm.tokens import encoder
 
 MAGIC = b"TWPFOR01"
@@ -196,7 +196,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         close()
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "seq", "path", "n_docs", "n_ids"])
 
-    return cut(sorted_docs.mapInArrow(run, "part int, seq int, path string, n_docs bigint, n_ids bigint"))
+    # one short row a file: an eighth of the tasks write them
+    return cut(sorted_docs.mapInArrow(tidied(run), "part int, seq int, path string, n_docs bigint, n_ids bigint").repartition(max(1, n // 8)))
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame, ids: bool = True) -> DataFrame:
@@ -225,4 +226,4 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, ids: bool = True)
                 arrays = [pa.array(found.doc_ids, pa.int64()), pa.array(begins, pa.int64()), pa.array(found.lengths, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(lists, pa.list_(pa.int64()))] if ids else [])], ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * ids])
 
-    return starts.mapInArrow(run, schema)
+    return starts.mapInArrow(tidied(run), schema)
