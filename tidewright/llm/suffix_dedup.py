@@ -30,7 +30,7 @@ from tidewright.llm.common import _BYTE, hold, mix, powers, shared_dir, tidied
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a written part, bytes hashed at a time, suffixes of a queue.
-PART_BYTES, CHUNK, QUEUE = 10_000_000, 1_000_000, 40_000
+PART_BYTES, CHUNK, QUEUE = 28_000_000, 1_000_000, 40_000
 _PLACE = 24  # bits of a place in a chunk; the other 40 are the anchor's hash
 
 
@@ -335,8 +335,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queue: dict[int, list] = {}
         for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                queue.setdefault(k, []).append(blob)
+            for kind, k, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if kind:  # spans that are known already pass
+                    yield _batch([(k, blob)], [pa.int32(), pa.binary()], ["part", "blob"])
+                else:
+                    queue.setdefault(k, []).append(blob)
         for blobs in queue.values():
             suffixes, part_of = [], []
             for blob in blobs:
@@ -360,9 +363,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield _batch([(p, _dump([(k, np.array(v, np.int64)) for k, v in m.items()])) for p, m in by_part.items()], [pa.int32(), pa.binary()], ["part", "blob"])
 
     hinted = hints.select("part", "blob").union(every).repartition(max(tasks, 1), "part")
-    collected = hold(hinted.mapInArrow(tidied(collect), "kind int, key int, blob binary"))
-    induced = collected.where("kind = 0").select("key", "blob").repartition(max(tasks, 1), "key").mapInArrow(tidied(induce), "part int, blob binary")
-    spans = induced.union(collected.where("kind = 1").select(F.col("key").alias("part"), "blob")).union(every)
+    collected = hinted.mapInArrow(tidied(collect), "kind int, key int, blob binary")
+    spans = collected.repartition(max(tasks, 1), "kind", "key").mapInArrow(tidied(induce), "part int, blob binary").union(every)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
