@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tidewright/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, small: bool = False) -> DataFrame:
+def cut(df: DataFrame, small: bool = False, compression: str = "zstd") -> DataFrame:
     """Writes a table to the shared folder and reads it again: later reads neither recompute it nor lose it with an executor.
 
     small: a table of short rows after a shuffle, which goes into an eighth of the files.
@@ -38,7 +38,7 @@ def cut(df: DataFrame, small: bool = False) -> DataFrame:
     path = shared_dir(spark)
     if small:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,7 +34,7 @@ def _min_hashes(ids: np.ndarray) -> tuple[int, int]:
     if len(x) < 3:
         x = np.concatenate([x, np.zeros(3 - len(x), np.uint64)])
     h = mix((x[:-2] << np.uint64(42)) ^ (x[1:-1] << np.uint64(21)) ^ x[2:])
-    return int(h.min() >> np.uint64(1)), int(mix(h ^ np.uint64(0x5851F42D4C957F2D)).min() >> np.uint64(1))
+    return int(h.min() >> np.uint64(1)), int((h * np.uint64(0x5851F42D4C957F2D)).min() >> np.uint64(1))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -50,7 +50,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, kind: str, end_id: int, id
                 arrays = [batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()), pa.array([x.astype("<u2").tobytes() if short(x) else x.tobytes() for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "h1", "h2", "ids"])
 
-    return cut(wanted.mapInArrow(tidied(run), "doc_id bigint, n bigint, h1 bigint, h2 bigint, ids binary"))
+    return cut(wanted.mapInArrow(tidied(run), "doc_id bigint, n bigint, h1 bigint, h2 bigint, ids binary"), compression="lz4")
 
 
 def short(ids: np.ndarray) -> bool:
