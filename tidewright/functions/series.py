@@ -36,7 +36,11 @@ class Series:
 
     @property
     def future(self) -> WindowSpec:
-        return self.w.rowsBetween(0, Window.unboundedFollowing)
+        """This row and those after it, from the last one back: a frame that grows, so each row is looked at once.
+
+        The nearest present value ahead is F.last(c, True) over it.
+        """
+        return Window.partitionBy(*self.key).orderBy(*[F.desc(c) for c in self.order]).rowsBetween(Window.unboundedPreceding, 0)
 
     @property
     def whole(self) -> WindowSpec:

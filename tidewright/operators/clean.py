@@ -22,8 +22,8 @@ def fill_missing(df: DataFrame, spec: Series, strategy: str, columns: Iterable[s
     numeric = spec.numeric(df)
     if strategy in ("forward_fill", "backward_fill"):
         names = list(columns) if columns is not None else [c for c in df.columns if c not in (*spec.key, *spec.order)]
-        pick, frame = (F.last, spec.past) if strategy == "forward_fill" else (F.first, spec.future)
-        return df.withColumns({c: pick(c, True).over(frame) for c in names})
+        frame = spec.past if strategy == "forward_fill" else spec.future
+        return df.withColumns({c: F.last(c, True).over(frame) for c in names})
     names = [c for c in (columns if columns is not None else numeric) if c in numeric]
     if strategy in ("mean", "median"):
         # an aggregate joined back: the series' rows stay spread, only its one value travels
@@ -32,7 +32,7 @@ def fill_missing(df: DataFrame, spec: Series, strategy: str, columns: Iterable[s
         return df.join(values, list(spec.key), "left").withColumns({c: F.coalesce(F.col(c), F.col(f"_fill_{c}")) for c in names}).select(*df.columns)
     at = df.withColumn("_at", F.row_number().over(spec.w))
     known = {c: F.when(F.col(c).isNotNull(), F.col("_at")) for c in names}
-    at = at.withColumns({f"_{side}{part}_{c}": (F.last if side == "p" else F.first)(F.col(c) if part == "v" else known[c], True).over(spec.past if side == "p" else spec.future) for c in names for side in "pn" for part in "vr"})
+    at = at.withColumns({f"_{side}{part}_{c}": F.last(F.col(c) if part == "v" else known[c], True).over(spec.past if side == "p" else spec.future) for c in names for side in "pn" for part in "vr"})
     line = {c: F.coalesce(F.col(c), F.when(F.col(f"_pv_{c}").isNotNull() & F.col(f"_nv_{c}").isNotNull(), F.col(f"_pv_{c}") + (F.col(f"_nv_{c}") - F.col(f"_pv_{c}")) * (F.col("_at") - F.col(f"_pr_{c}")) / (F.col(f"_nr_{c}") - F.col(f"_pr_{c}"))).otherwise(F.col(f"_pv_{c}"))) for c in names}
     return at.withColumns(line).select(*df.columns)
 
