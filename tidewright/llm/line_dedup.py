@@ -1,8 +1,9 @@
 """Line deduplication by pairwise alignment.
 
 Documents that overlap are found through shared line hashes: a line that several documents hold leads each of them to
-the earliest one, so a line with many holders makes as many pairs as holders and never pairs of all with all. Each
-pair is aligned by patience diff: lines that occur once in both documents, in the longest run that keeps both orders,
+the earliest one, so a line with many holders makes as many pairs as holders and never pairs of all with all. Shared
+runs of consecutive lines can lead in the same way, for blocks whose lines have other earliest holders each. Each pair
+is aligned by patience diff: lines that occur once in both documents, in the longest run that keeps both orders,
 are the fixed points; between them the same is done again, and equal lines beside them join in. Aligned blocks of
 BLOCK_CHARS characters or more are deleted from the later document.
 """
@@ -26,17 +27,34 @@ LINE_CHARS, BLOCK_CHARS = 20, 60
 _NO_ID = -(1 << 63)
 
 
-def line_hashes(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text the hashes of its lines and their characters without white space at the ends of the line."""
+def line_hashes(texts: list[str], run_chars: int | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text the hashes of its lines, their characters, and the hashes of its shortest runs of ``run_chars`` characters.
+
+    Of runs there are the shortest that begins and the shortest that ends with each line, so that those within a block
+    cover it. A run's hash is that of its bytes, line ends included; one line's is the hash of the line.
+    """
     raw = [t.encode("utf-8", "surrogatepass") + b"\n" for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     stop = np.flatnonzero(data == 10)
     start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
-    h = span_hash(prefix_hash(data), start, stop).view(np.int64)
+    prefix = prefix_hash(data)
+    h = span_hash(prefix, start, stop).view(np.int64)
     seen = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     size = seen[stop] - seen[start]
     edges = np.searchsorted(stop, np.cumsum([len(x) for x in raw]))
-    return [(h[a:b], size[a:b]) for a, b in zip([0, *edges[:-1].tolist()], edges.tolist(), strict=True)]
+    out = []
+    for a, b in zip([0, *edges[:-1].tolist()], edges.tolist(), strict=True):
+        runs = np.zeros(0, np.int64)
+        if run_chars is not None:
+            upto = np.cumsum(size[a:b])
+            before = upto - size[a:b]
+            last = np.searchsorted(upto, before + run_chars)
+            first = np.searchsorted(before, upto - run_chars, side="right") - 1
+            i = np.concatenate([np.flatnonzero(last < b - a), first[first >= 0]])
+            j = np.concatenate([last[last < b - a], np.flatnonzero(first >= 0)])
+            runs = np.unique(span_hash(prefix, start[a + i], stop[a + j]).view(np.int64))
+        out.append((h[a:b], size[a:b], runs))
+    return out
 
 
 def _fixed_points(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -102,24 +120,29 @@ def common_blocks(later: list[int], earlier: list[int], sizes: list[int], least:
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_chars: int = LINE_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_chars: int = LINE_CHARS, block_chars: int = BLOCK_CHARS, runs: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_removed, text): each document without the line blocks that align with an earlier one.
 
     Earlier means a smaller id, a null id before all; among rows with the same id, a smaller hash of the text. Fully
     equal rows are one document, told each time. Null text gives null text and no lines; a text is judged on the input,
     not on what other deletions leave. Empty tables give no rows; columns other than the two named are not read.
+
+    runs: each shared run of ``block_chars`` characters leads to its earliest holder as well, whatever the length of its
+    lines. Without it only lines of ``line_chars`` characters lead, and a block in an earlier document is missed where
+    each of its lines has another earliest holder or none is as long.
     """
     source = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_NO_ID)).alias("id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in ranges_of(batch.column(2), 500_000):
-                found = line_hashes(batch.column(2).slice(a, b - a).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.int32()))], ["id", "key", "hashes", "sizes"])
+                found = line_hashes(batch.column(2).slice(a, b - a).to_pylist(), block_chars if runs else None)
+                leads = [np.unique(np.concatenate([h[size >= line_chars], more])) for h, size, more in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.int32())), pa.array(leads, pa.list_(pa.int64()))], ["id", "key", "hashes", "sizes", "leads"])
 
-    lines = hold(source.where("text IS NOT NULL").mapInArrow(tidied(split), "id bigint, key bigint, hashes array<bigint>, sizes array<int>"))
-    long_lines = F.array_distinct(F.filter(F.transform("hashes", lambda h, k: F.when(F.get("sizes", k) >= line_chars, h)), lambda h: h.isNotNull()))
-    held = lines.select("id", "key", F.explode(long_lines).alias("h"))
+    split_lines = hold(source.where("text IS NOT NULL").mapInArrow(tidied(split), "id bigint, key bigint, hashes array<bigint>, sizes array<int>, leads array<bigint>"))
+    lines = split_lines.select("id", "key", "hashes", "sizes")
+    held = split_lines.select("id", "key", F.explode("leads").alias("h"))
     # written, so that a join deals it anew and can split a line with many holders
     first = cut(held.groupBy("h").agg(F.min(F.struct("id", "key")).alias("p"), F.max(F.struct("id", "key")).alias("q")).where("p < q").select("h", F.col("p.id").alias("p_id"), F.col("p.key").alias("p_key")), small=True)
     pairs = held.join(first, "h").where("id <> p_id OR key <> p_key").select("id", "key", "p_id", "p_key").distinct()
@@ -136,7 +159,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     aligned = both.select("id", "key", "hashes", "sizes", "p_hashes").mapInArrow(tidied(align), "id bigint, key bigint, gone array<int>")
     gone = cut(aligned.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), small=True)
-    release(lines)
+    release(split_lines)
     # always by merging: whatever the size, texts stay where they are dealt to
     told = source.join(gone.hint("merge"), ["id", "key"], "left").select("id", "text", "gone")
 

@@ -17,7 +17,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Deletes line blocks that align with an earlier document; documents of which nothing is left go."""
     from tidewright.llm.line_dedup import dedup_lines
 
-    return _with_text(docs, dedup_lines(docs).where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0)).select("doc_id", "text"))
+    return _with_text(docs, dedup_lines(docs, runs=True).where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0)).select("doc_id", "text"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
