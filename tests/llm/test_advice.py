@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm.test_operators import docs_of
-from tidewright.llm import line_dedup
+from tidewright.llm import line_dedup, stages
 from tidewright.llm.corpus_queries import op8_line_dedup
 
 A, B = "first line of forty characters, or nearly", "second line of forty characters or nearly"
@@ -42,3 +44,21 @@ def test_line_runs_against_plain(spark):
     got = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(docs_of(spark, rows), runs=True).collect()}
     assert got == _plain(dict(rows))
     assert sum(got.values()) > sum(x.n_removed for x in line_dedup.dedup_lines(docs_of(spark, rows)).collect())
+
+
+def test_stages_tell_rows_apart(spark):
+    t = ["\n".join(" ".join(f"{w}{k}{line}{n}" for n in range(20)) for line in "xyz") for k in range(6) for w in ["word"]]
+    near = t[0].replace("word0x3", "other", 1)
+
+    def run(stage, rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, "").collect()), key=str)
+
+    # clean rows without an id, and of one id, each keep their own text; a row deleted whole does not come back by its id
+    rows = [(1, t[0]), (5, t[0]), (5, t[1]), (5, t[2]), (None, t[3]), (None, t[4])]
+    clean = sorted((r for r in rows if r != (5, t[0])), key=str)
+    assert run(stages.drop_repeated_lines, rows) == clean
+    assert run(stages.drop_repeated_passages, rows) == clean
+    # one row of each group: a copy does not stay through another text of its id, nor an equal row beside its like
+    rows = [(2, t[0]), (5, t[1]), (5, near), (6, t[2]), (6, t[2]), (None, t[3]), (None, t[3]), (None, t[4]), (None, t[0]), (7, t[4])]
+    assert run(stages.keep_one_of_each_group, rows) == sorted([(2, t[0]), (5, t[1]), (6, t[2]), (None, t[3]), (7, t[4])], key=str)

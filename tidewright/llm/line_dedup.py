@@ -120,7 +120,7 @@ def common_blocks(later: list[int], earlier: list[int], sizes: list[int], least:
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_chars: int = LINE_CHARS, block_chars: int = BLOCK_CHARS, runs: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_chars: int = LINE_CHARS, block_chars: int = BLOCK_CHARS, runs: bool = False, with_key: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_removed, text): each document without the line blocks that align with an earlier one.
 
     Earlier means a smaller id, a null id before all; among rows with the same id, a smaller hash of the text. Fully
@@ -129,7 +129,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     runs: each shared run of ``block_chars`` characters leads to its earliest holder as well, whatever the length of its
     lines. Without it only lines of ``line_chars`` characters lead, and a block in an earlier document is missed where
-    each of its lines has another earliest holder or none is as long.
+    each of its lines has another earliest holder or none is as long. with_key adds key, the xxhash64 of the text as it
+    was: with the id it tells rows apart.
     """
     source = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_NO_ID)).alias("id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text"))
 
@@ -161,7 +162,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = cut(aligned.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), small=True)
     release(split_lines)
     # always by merging: whatever the size, texts stay where they are dealt to
-    told = source.join(gone.hint("merge"), ["id", "key"], "left").select("id", "text", "gone")
+    told = source.join(gone.hint("merge"), ["id", "key"], "left").select("id", "text", "gone", "key")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,9 +174,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     n.append(len(rows))
                     m.append(len(dropped))
                     texts.append(text if not dropped else "\n".join(x for k, x in enumerate(rows) if k not in dropped))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(texts, pa.string())], ["id", "n_lines", "n_removed", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(texts, pa.string()), batch.column(3).slice(a, b - a)], ["id", "n_lines", "n_removed", "text", "key"])
 
-    return told.mapInArrow(tidied(rebuild), "id bigint, n_lines bigint, n_removed bigint, text string").select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_lines", "n_removed", "text")
+    return told.mapInArrow(tidied(rebuild), "id bigint, n_lines bigint, n_removed bigint, text string, key bigint").select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_lines", "n_removed", "text", *["key"] * with_key)
 
 
 def sha256(text: str) -> str:

@@ -199,13 +199,13 @@ class _Part:
 _NO_ID = -(1 << 63)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of each document.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_key: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, key]) of each document.
 
     Removed is each byte of a LENGTH-byte string that also starts earlier: in a document with a smaller id, or earlier
     in the same one; strings are judged on the input. Null text counts as empty; a null id comes before all others;
     rows that share an id are ordered by a hash of their text, and fully equal rows are one document, told each time.
-    kept_text drops the bytes that a cut leaves of a character.
+    kept_text drops the bytes that a cut leaves of a character; key is the xxhash64 of the text as it was (null as empty).
     """
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hinted = hints.select("part", "blob").union(every).repartition(max(tasks, 1), "part")
     collected = hinted.mapInArrow(tidied(collect), "kind int, key int, blob binary")
     spans = collected.repartition(max(tasks, 1), "kind", "key").mapInArrow(tidied(induce), "part int, blob binary").union(every)
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text + ", key bigint" * with_key
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, dict] = {}
@@ -374,8 +374,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 own = by_part.setdefault(p, {})
                 for k, v in _load(blob) if blob is not None else []:
                     own.setdefault(k, []).append(v)
-        types = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
+        types = [pa.int64()] * 4 + [pa.string()] * (1 + with_text) + [pa.int64()] * with_key
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text, *["key"] * with_key]
         for p, own in by_part.items():
             out, size = [], 0
             for k, t in _Part(folder, p).rows():
@@ -386,7 +386,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     edges = [0, *joined.reshape(-1).tolist(), len(raw)]
                     kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     removed, n = len(raw) - len(kept), len(joined)
-                out.append((None if k[0] == _NO_ID else k[0], len(raw), removed, n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * with_text))
+                out.append((None if k[0] == _NO_ID else k[0], len(raw), removed, n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * with_text, *[k[1]] * with_key))
                 size += len(raw)
                 if size > 4_000_000:
                     yield _batch(out, types, names)
