@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import docs_of
-from tidewright.llm import line_dedup, stages
+from tidewright.llm import line_dedup, packing, stages
 from tidewright.llm.corpus_queries import op8_line_dedup
 
 A, B = "first line of forty characters, or nearly", "second line of forty characters or nearly"
@@ -62,3 +63,19 @@ def test_stages_tell_rows_apart(spark):
     # one row of each group: a copy does not stay through another text of its id, nor an equal row beside its like
     rows = [(2, t[0]), (5, t[1]), (5, near), (6, t[2]), (6, t[2]), (None, t[3]), (None, t[3]), (None, t[4]), (None, t[0]), (7, t[4])]
     assert run(stages.keep_one_of_each_group, rows) == sorted([(2, t[0]), (5, t[1]), (6, t[2]), (None, t[3]), (7, t[4])], key=str)
+
+
+def test_neighbours_are_scored_by_all_terms():
+    r = np.random.default_rng(0)
+    documents = [r.integers(0, 400, 150).astype(np.uint32) for _ in range(80)]
+    held = np.array([np.bincount(d, minlength=400) for d in documents])
+    n = (held > 0).sum(0)
+    idf = np.log(1 + (80 - n + 0.5) / (n + 0.5))
+    weight = idf * held * (packing.K1 + 1) / (held + packing.K1)  # all are of the mean length
+    index = packing.Index(documents, n, 80, 150.0)
+    for seed in range(80):
+        used = np.zeros(80, bool)
+        used[seed] = True
+        score = weight[:, held[seed] > 0].sum(1)
+        score[seed] = 0
+        assert index.neighbours(seed, used, 10).tolist() == np.argsort(-score, kind="stable")[:10].tolist()

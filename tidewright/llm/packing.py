@@ -23,8 +23,8 @@ from tidewright.llm.tokens import encoder
 WINDOW = 4096
 #: Ids of a shard, that is of one index held in memory, and of the documents that a range is meant to hold.
 SHARD_IDS, RANGE_IDS = 2_000_000, 4_000_000
-#: Terms of a seed that are looked up, those of the highest weight; BM25's parameters.
-QUERY_TERMS, K1, B = 16, 1.2, 0.75
+#: BM25's parameters.
+K1, B = 1.2, 0.75
 _NONE = np.iinfo(np.int64).max
 
 
@@ -99,17 +99,15 @@ class Index:
         names, self.begin = np.unique(terms[order], return_index=True)
         self.end = np.append(self.begin[1:], len(terms))
         place = np.searchsorted(names, terms)
-        # a document's own query: its heaviest terms that some other document of the shard holds
+        # a document's own query: all its terms that some other document of the shard holds
         shared = (self.end - self.begin)[place] > 1
-        ends = np.cumsum(sizes)
-        self.query = []
-        for a, b in zip(ends - sizes, ends, strict=True):
-            mine = np.flatnonzero(shared[a:b]) + a
-            self.query.append(place[mine[np.argsort(-weight[mine], kind="stable")[:QUERY_TERMS]]])
+        self.terms = place[shared]
+        self.edges = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], np.cumsum(sizes)])]
 
     def neighbours(self, seed: int, used: np.ndarray, most: int) -> np.ndarray:
         """Up to ``most`` unused documents that share a term with the seed, best first, ties to the earlier one."""
-        spans = [slice(self.begin[t], self.end[t]) for t in self.query[seed]]
+        terms = self.terms[self.edges[seed] : self.edges[seed + 1]]
+        spans = [slice(a, b) for a, b in zip(self.begin[terms].tolist(), self.end[terms].tolist(), strict=True)]
         if not spans:
             return np.zeros(0, np.int64)
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
