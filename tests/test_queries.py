@@ -8,7 +8,6 @@ import pytest
 from tidewright.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-HEAVY = {"hyperparameter_search", "permutation_importance"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,7 @@ def _key(row):
     return tuple((x is None, str(x) if isinstance(x, (list, dict)) else (0 if x is None else x)) for x in row)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - HEAVY))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, sf_dir, db, name):
     df = catalog.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)

@@ -6,6 +6,7 @@ import logging
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tidewright.functions.series import Series
 from tidewright.operators import quality
@@ -40,9 +41,9 @@ def test_scan_and_schema(spark, assets):
         readers.load_parquet(spark, f"{assets}/btc.parquet", {"close": "int64"})
 
 
-@pytest.mark.parametrize("a,b,same", [("float32", "float64", True), ("int8", "int64", True), ("int64", "float64", False), ("bool", "bool", True), ("datetime64[us]", "datetime64[ns]", False)])
+@pytest.mark.parametrize("a,b,same", [("float", "float64", True), ("tinyint", "int64", True), ("bigint", "float64", False), ("boolean", "bool", True), ("timestamp_ntz", "datetime64[ns]", True), ("date", "datetime64[ns]", False), ("decimal(3,1)", "decimal(3,1)", True), ("array<int>", "int64", False)])
 def test_type_families(a, b, same):
-    assert readers.types_agree(a, b) is same
+    assert readers.types_agree(DataType.fromDDL(a), b) is same
 
 
 def test_assets_and_config(spark, assets, tmp_path):

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.functions.series import Series
+from tidewright.functions.series import Series, sliced, unsliced, windowed
 from tidewright.operators.clean import fill_missing, safe_divide
 
 LAGS, WINDOWS, RETURN_PERIODS = (1, 2, 3, 5, 10, 20), (5, 10, 20, 50), (1, 5, 10, 20)
@@ -17,7 +17,7 @@ STATISTICS = ("mean", "std", "min", "max")
 def lag_features(df: DataFrame, spec: Series, columns: list[str] | None = None, lags=LAGS) -> DataFrame:
     """{column}_lag_{k}; unknown columns are left out."""
     names = [c for c in (columns or spec.numeric(df)) if c in df.columns]
-    return df.withColumns({f"{c}_lag_{k}": F.lag(c, k).over(spec.w) for c in names for k in lags})
+    return windowed(df, spec, max(lags), lambda d, s: d.withColumns({f"{c}_lag_{k}": F.lag(c, k).over(s.w) for c in names for k in lags}))
 
 
 def rolling_statistic(spec: Series, c: str, statistic: str, size: int) -> Column:
@@ -35,7 +35,7 @@ def rolling_statistic(spec: Series, c: str, statistic: str, size: int) -> Column
 def rolling_features(df: DataFrame, spec: Series, columns: list[str] | None = None, windows=WINDOWS, statistics=STATISTICS) -> DataFrame:
     """{column}_rolling_{statistic}_{size}, all in one window stage."""
     names = [c for c in (columns or spec.numeric(df)) if c in df.columns]
-    return df.withColumns({f"{c}_rolling_{s}_{k}": rolling_statistic(spec, c, s, k) for c in names for k in windows for s in statistics})
+    return windowed(df, spec, max(windows), lambda d, own: d.withColumns({f"{c}_rolling_{s}_{k}": rolling_statistic(own, c, s, k) for c in names for k in windows for s in statistics}))
 
 
 def log_return(spec: Series, c: str, periods: int = 1) -> Column:
@@ -47,14 +47,18 @@ def log_return(spec: Series, c: str, periods: int = 1) -> Column:
 def price_returns(df: DataFrame, spec: Series, columns: list[str], periods=RETURN_PERIODS, log: bool = True, fill: bool = True) -> DataFrame:
     """{column}_log_return_{p}, or {column}_return_{p}, the change relative to p rows before (gaps filled forward first, if asked)."""
     if log:
-        return df.withColumns({f"{c}_log_return_{p}": log_return(spec, c, p) for c in columns for p in periods})
-    base = df
-    if fill:
-        filled = fill_missing(df.withColumns({f"_f_{c}": F.col(c) for c in columns}), spec, "forward_fill", [f"_f_{c}" for c in columns])
-        base = filled
+        return windowed(df, spec, max(periods), lambda d, s: d.withColumns({f"{c}_log_return_{p}": log_return(s, c, p) for c in columns for p in periods}))
     name = (lambda c: f"_f_{c}") if fill else (lambda c: c)
-    new = {f"{c}_return_{p}": safe_divide(F.col(name(c)) - F.lag(name(c), p).over(spec.w), F.lag(name(c), p).over(spec.w)) for c in columns for p in periods}
-    return base.withColumns(new).select(*df.columns, *new)
+    rows, own = sliced(df, spec)
+    if fill:
+        rows = fill_missing(rows.withColumns({name(c): F.col(c) for c in columns}), own, "forward_fill", [name(c) for c in columns])
+
+    def build(rows: DataFrame, s: Series) -> DataFrame:
+        before = lambda c, p: F.lag(name(c), p).over(s.w)
+        return rows.withColumns({f"{c}_return_{p}": safe_divide(F.col(name(c)) - before(c, p), before(c, p)) for c in columns for p in periods})
+
+    out = unsliced(windowed(rows, own, max(periods), build), spec, own)
+    return out.select(*df.columns, *[f"{c}_return_{p}" for c in columns for p in periods])
 
 
 def forward_return(spec: Series, c: str, steps: int = 1) -> Column:
@@ -62,6 +66,16 @@ def forward_return(spec: Series, c: str, steps: int = 1) -> Column:
     return safe_divide(F.lead(c, steps).over(spec.w), F.col(c)) - 1
 
 
+def with_forward_return(df: DataFrame, spec: Series, c: str, steps: int = 1, name: str = "target") -> DataFrame:
+    """Adds forward_return(), for series of any length."""
+    return windowed(df, spec, 0, lambda d, s: d.withColumn(name, forward_return(s, c, steps)), lookahead=steps)
+
+
+def with_log_return(df: DataFrame, spec: Series, c: str, periods: int = 1, name: str = "log_return") -> DataFrame:
+    """Adds log_return(), for series of any length."""
+    return windowed(df, spec, periods, lambda d, s: d.withColumn(name, log_return(s, c, periods)))
+
+
 def calendar_features(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Parts of the date (Monday 0, ISO weeks), flags as 0 and 1, and weekday and month on a circle."""
     if dict(df.dtypes)[ts] not in ("timestamp", "timestamp_ntz", "date"):
@@ -150,14 +164,16 @@ def order_book_features(df: DataFrame, bid: str = "bid_price", ask: str = "ask_p
     return out
 
 
-def engineer_all(df: DataFrame, spec: Series, price: list[str], config: dict | None = None) -> DataFrame:
-    """Returns, lags, rolling statistics, calendar and order book in a fixed order."""
+def engineer_all(df: DataFrame, spec: Series, price: list[str], config: dict | None = None, holidays: list[date] | None = None) -> DataFrame:
+    """Returns, lags, rolling statistics, calendar (with holidays, if any are given) and order book in a fixed order."""
     config = config or {}
     base = spec.numeric(df)
-    out = price_returns(df, spec, [c for c in price if c in df.columns], config.get("return_periods", RETURN_PERIODS))
-    out = lag_features(out, spec, base, config.get("lag_periods", LAGS))
-    out = rolling_features(out, spec, base, config.get("rolling_windows", WINDOWS), config.get("rolling_statistics", STATISTICS))
-    return order_book_features(calendar_features(out, spec.ts))
+    rows, own = sliced(df, spec)
+    out = price_returns(rows, own, [c for c in price if c in df.columns], config.get("return_periods", RETURN_PERIODS))
+    out = lag_features(out, own, base, config.get("lag_periods", LAGS))
+    out = rolling_features(out, own, base, config.get("rolling_windows", WINDOWS), config.get("rolling_statistics", STATISTICS))
+    out = calendar_features(unsliced(out, spec, own), spec.ts)
+    return order_book_features(holiday_features(out, holidays, spec.ts) if holidays else out)
 
 
 #: Buckets of feature names, by what a name holds; spread columns stand in two.

@@ -6,9 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidewright.functions.series import Series
+from tidewright.functions.ranks import counted
+from tidewright.functions.series import Series, running, sliced
 from tidewright.operators.clean import safe_divide
 
 YEAR = 252
@@ -61,22 +61,28 @@ def brier_and_log_loss_multi(df: DataFrame, y: str, probas: list[str]) -> DataFr
 
 
 def roc_auc(df: DataFrame, y: str, proba: str) -> DataFrame:
-    """Area under the ROC curve, from counts by distinct score: ties count half; missing with a single class.
+    """Area under the ROC curve, from counts by distinct score: ties count half; missing with a single class."""
+    rows = df.where(F.col(proba).isNotNull() & F.col(y).isNotNull()).select(F.col(proba).alias("value"), F.col(y).alias("y"))
+    counts = counted(rows, [], {"pos": (F.col("y") == 1).cast("long"), "neg": (F.col("y") != 1).cast("long")})
+    return counts.agg(_area().alias("roc_auc"))
 
-    Scores are counted first; the running count then goes over ranges of scores and within each, so no task holds all.
+
+def _area() -> Column:
+    """The share of pairs of a positive and a negative row that are in order, from counts by score."""
+    won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
+    return F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg"))
+
+
+def roc_auc_ovr(df: DataFrame, y: str, probas: list[str]) -> DataFrame:
+    """(roc_auc): of class codes 0.. and a probability column for each, the mean area of each class against the rest.
+
+    All classes go in one pass. Missing where a class, or its rest, has no row.
     """
-    counts = df.where(F.col(proba).isNotNull()).groupBy(F.col(proba).alias("s")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
-    cuts = counts.agg(F.percentile_approx("s", F.array(*[F.lit(k / 16) for k in range(1, 16)]), 1000)).first()[0] or []
-    part = F.lit(0)
-    for x in cuts:
-        part = part + (F.col("s") > x).cast("int")
-    counts = counts.withColumn("part", part)
-    sums = counts.groupBy("part").agg(F.sum("neg").alias("all_neg"))
-    before = sums.withColumn("before", F.coalesce(F.sum("all_neg").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    below = F.sum("neg").over(Window.partitionBy("part").orderBy("s")) - F.col("neg")
-    ranked = counts.join(F.broadcast(before), "part").withColumn("below", F.col("before") + below)
-    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
-    return ranked.agg(F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("class"), F.col(c).cast("double").alias("value"), (F.col(y) == k).cast("long").alias("own")) for k, c in enumerate(probas)]))
+    rows = df.where(F.col(y).isNotNull()).select(each.alias("e")).select("e.*").where("value IS NOT NULL")
+    counts = counted(rows, ["class"], {"pos": F.col("own"), "neg": 1 - F.col("own")})
+    areas = counts.groupBy("class").agg(_area().alias("a"))
+    return areas.agg(F.when(F.count("a") == len(probas), F.avg("a")).alias("roc_auc"))
 
 
 def regression_metrics(df: DataFrame, y: str, p: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -91,9 +97,9 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: tuple[str, ...] = ())
 def trading_metrics(df: DataFrame, spec: Series, returns: str, signal: str, risk_free: float = 0.0) -> DataFrame:
     """Per series, of signal times return: Sharpe, drawdown, direction hits, win rate, profit factor, total return, Sortino."""
     r = F.col(signal) * F.col(returns)
-    at = df.where(F.col(returns).isNotNull()).withColumn("_r", r)
-    at = at.withColumn("_equity", F.product(1 + F.col("_r")).over(spec.past))
-    at = at.withColumn("_drawdown", F.try_divide(F.col("_equity") - F.max("_equity").over(spec.past), F.max("_equity").over(spec.past)))
+    at, own = sliced(df.where(F.col(returns).isNotNull()).withColumn("_r", r), spec)
+    at = running(at, own, {"_equity": ("product", 1 + F.col("_r"))})
+    at = running(at, own, {"_peak": ("max", F.col("_equity"))}).withColumn("_drawdown", F.try_divide(F.col("_equity") - F.col("_peak"), F.col("_peak")))
     excess = F.col("_r") - risk_free / YEAR
     n, sd = F.count("_r"), F.stddev_pop(excess)
     traded = F.col(signal) != 0

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from tidewright.sources import files
+
 EPSILON = 1e-10
 
 
@@ -114,6 +116,5 @@ def write_profile(df: DataFrame, path: str, level: str = "minimal") -> dict:
         heads = list(rows[0]) if rows else []
         cells = "".join("<tr>" + "".join(f"<td>{html.escape(str(r[h]))}</td>" for h in heads) + "</tr>" for r in rows)
         parts.append(f"<h2>{name}</h2><table><tr>{''.join(f'<th>{html.escape(h)}</th>' for h in heads)}</tr>{cells}</table>")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join(parts))
+    files.write_text(path, "\n".join(parts))
     return json.loads(json.dumps(tables["summary"][0], default=str))

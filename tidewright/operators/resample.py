@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.series import Series
+from tidewright.functions.series import Series, windowed
 from tidewright.operators.clean import fill_missing
 
 #: Frequencies: the unit that buckets are floored to, and the step of a grid.
@@ -63,8 +63,9 @@ def resample_ohlcv(df: DataFrame, spec: Series, freq: str, price: str | None = N
 
 def infer_frequency(df: DataFrame, spec: Series, default: str = "D") -> str:
     """The commonest step between neighbouring rows, as a name of FREQUENCIES."""
-    step = F.unix_timestamp(F.col(spec.ts).cast("timestamp")) - F.unix_timestamp(F.lag(spec.ts).over(spec.w).cast("timestamp"))
-    top = df.select(step.alias("s")).where("s > 0").groupBy("s").count().orderBy(F.desc("count"), "s").limit(1).collect()
+    step = lambda s: F.unix_timestamp(F.col(s.ts).cast("timestamp")) - F.unix_timestamp(F.lag(s.ts).over(s.w).cast("timestamp"))
+    steps = windowed(df.select(*spec.key, *spec.order), spec, 1, lambda d, s: d.withColumn("s", step(s)))
+    top = steps.select("s").where("s > 0").groupBy("s").count().orderBy(F.desc("count"), "s").limit(1).collect()
     names = {60: "min", 3600: "h", 86400: "D", 604800: "W"}
     if not top:
         return default

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.series import Series
+from tidewright.functions.series import Series, running, sliced, unsliced, windowed
 from tidewright.operators.clean import fill_missing, safe_divide
 
 STRATEGIES = ("threshold", "directional")
@@ -52,10 +52,15 @@ def backtest(prices: DataFrame, signals: DataFrame, spec: Series, price: str, ca
     """
     position = signals.select(*spec.key, spec.ts, signal_number(F.col("signal_type")).alias("position"))
     both = prices.select(*spec.key, *spec.order, price).join(position, [*spec.key, spec.ts], "left").fillna(0, [price, "position"])
-    change = safe_divide(F.col(price) - F.lag(price).over(spec.w), F.lag(price).over(spec.w))
-    both = both.withColumn("strategy_return", F.lag("position").over(spec.w) * change)
-    grown = F.product(1 + F.col("strategy_return")).over(spec.past)
-    out = both.withColumn("equity", F.when(F.col("strategy_return").isNotNull(), capital * grown))
+    rows, own = sliced(both, spec)
+
+    def step(d: DataFrame, s: Series) -> DataFrame:
+        before = F.lag(price).over(s.w)
+        return d.withColumn("strategy_return", F.lag("position").over(s.w) * safe_divide(F.col(price) - before, before))
+
+    grown = running(windowed(rows, own, 1, step), own, {"_grown": ("product", 1 + F.col("strategy_return"))})
+    out = grown.withColumn("equity", F.when(F.col("strategy_return").isNotNull(), capital * F.col("_grown"))).drop("_grown")
+    out = unsliced(out, spec, own)
     return out.where(F.lit(not signals.isEmpty()))
 
 

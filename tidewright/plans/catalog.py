@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 def _load() -> None:
     """The modules of queries register them as they are imported."""
-    from tidewright.plans import evaluation, feature_queries, preparation  # noqa: F401
+    from tidewright.plans import evaluation, feature_queries, model_queries, operation_queries, preparation, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.series import Series
 from tidewright.operators import metrics, models, splits, trading
 from tidewright.operators.bins import Discretizer
-from tidewright.operators.features import forward_return, log_return
+from tidewright.operators.features import with_log_return
 from tidewright.operators.indicators import volatility_regime
 from tidewright.plans.catalog import register
 from tidewright.plans.inputs import BARS, EVENTS, SQL_BARS, SQL_EVENTS, SQL_SCORES, TS, W, bars_hourly, events, fullw, out, rnd, scores, table
@@ -18,7 +18,7 @@ _SQL_RET = f"{SQL_BARS}, r AS (SELECT series, ts, open, close, {_RET} AS ret FRO
 
 
 def _returns(spark, sf_dir):
-    return bars_hourly(spark, sf_dir).withColumn("ret", log_return(BARS, "close"))
+    return with_log_return(bars_hourly(spark, sf_dir), BARS, "close", name="ret")
 
 
 @register("label_direction", f"WITH {_SQL_RET} SELECT series, {TS}, CASE WHEN ret > 0.1 THEN 1 WHEN ret < -0.1 THEN -1 ELSE 0 END AS label FROM r")
@@ -70,20 +70,22 @@ def leakage_check(spark, sf_dir):
     return out(splits.leakage_check(splits.sequential_split(events(spark, sf_dir), EVENTS), EVENTS), ["series", "train_last", "test_first"], ["no_leakage"])
 
 
-def _fold_sql(folds) -> str:
-    table_ = " UNION ALL ".join(f"SELECT {f.fold} AS fold, {f.start} AS a, {f.train_end} AS b, {f.validation_end} AS c, {f.test_end} AS d" for f in folds)
-    return f"WITH {SQL_EVENTS}, p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts, event_id) - 1 AS pos FROM ev), f AS ({table_}) SELECT series, event_id, fold, CASE WHEN pos < b THEN 'train' WHEN pos < c THEN 'validation' ELSE 'test' END AS split FROM p JOIN f ON pos >= a AND pos < d"
+def _folded(name: str, bounds: str, of: dict):
+    """Folds over all rows of each series: ``bounds`` gives, for n rows, the folds' a (start), b, c (ends of training and validation), d."""
+    sql = f"""WITH {SQL_EVENTS}, p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts, event_id) - 1 AS pos FROM ev), n AS (SELECT series, count(*) AS n FROM ev GROUP BY 1),
+    s AS (SELECT *, CAST(floor(n * 0.3) AS BIGINT) AS t, CAST(floor(n * 0.1) AS BIGINT) AS v, n // 7 AS q FROM n), f AS ({bounds})
+    SELECT p.series, event_id, CAST(fold AS INTEGER) AS fold, CASE WHEN pos < b THEN 'train' WHEN pos < c THEN 'validation' ELSE 'test' END AS split FROM p JOIN f ON p.series = f.series AND pos >= a AND pos < d"""
 
-
-def _folded(name: str, folds):
-    @register(name, _fold_sql(folds))
+    @register(name, sql)
     def query(spark, sf_dir):
-        return splits.apply_folds(events(spark, sf_dir), EVENTS, folds).select("series", "event_id", "fold", "split")
+        return splits.whole_folds(events(spark, sf_dir), EVENTS, **of).select("series", "event_id", "fold", "split")
 
 
-_folded("folds_rolling", splits.rolling_folds(600, 200, 50, 50, 100))
-_folded("folds_expanding", splits.expanding_folds(600, 200, 50, 50, 100))
-_folded("folds_time_series", splits.time_series_folds(600, 4))
+_SHARES = {"train": 0.3, "validation": 0.1, "test": 0.1}
+_K = "(SELECT series, n, t, v, q, unnest(range(0, greatest((n - t - 2 * v) // v + 1, 0))) AS k FROM s)"
+_folded("folds_rolling", f"SELECT series, k AS fold, k * v AS a, k * v + t AS b, k * v + t + v AS c, k * v + t + 2 * v AS d FROM {_K}", {"kind": "rolling", **_SHARES})
+_folded("folds_expanding", f"SELECT series, k AS fold, 0 AS a, k * v + t AS b, k * v + t + v AS c, k * v + t + 2 * v AS d FROM {_K}", {"kind": "expanding", **_SHARES})
+_folded("folds_time_series", "SELECT series, k AS fold, 0 AS a, n - q * (6 - k) AS b, n - q * (6 - k) AS c, n - q * (6 - k) + q AS d FROM (SELECT *, unnest(range(6)) AS k FROM s)", {"kind": "time_series", "splits": 6})
 
 
 @register("sequences", f"""WITH {SQL_BARS}, s AS (SELECT series, ts, close, list(close) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS l, lag(open, 5) OVER ({W}) AS o FROM bars)
@@ -275,53 +277,17 @@ _NB_SCORE = "ln(n / CAST((SELECT count(*) FROM t) AS DOUBLE))" + "".join(f" - 0.
 
 
 @register("gaussian_nb_scores", f"""WITH t AS (SELECT *, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem WHERE l_orderkey % 5 <> 0), k AS (SELECT y AS label, count(*) AS n, {_NB_STATS} FROM t GROUP BY y),
-s AS (SELECT l_orderkey, l_linenumber, label, {_NB_SCORE} AS s FROM (SELECT * FROM lineitem WHERE l_orderkey % 5 = 0), k)
+s AS (SELECT l_orderkey, l_linenumber, label, {_NB_SCORE} AS s FROM lineitem, k)
 SELECT l_orderkey, l_linenumber, {rnd("max(s) FILTER (WHERE label = 0)", "score_0")}, {rnd("max(s) FILTER (WHERE label = 1)", "score_1")}, {rnd("1 / (1 + exp(max(s) FILTER (WHERE label = 0) - max(s) FILTER (WHERE label = 1)))", "probability_1")}, CASE WHEN max(s) FILTER (WHERE label = 0) >= max(s) FILTER (WHERE label = 1) THEN 0 ELSE 1 END AS prediction FROM s GROUP BY 1, 2, l_linenumber""".replace("GROUP BY 1, 2, l_linenumber", "GROUP BY l_orderkey, l_linenumber"))
 def gaussian_nb_scores(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("y", F.expr("CAST(l_returnflag = 'R' AS INT)"))
     # the key of order lines is not unique in the tables: a line number may come twice in an order
-    told = models.GaussianNB(_NB).fit(li.where("l_orderkey % 5 <> 0"), "y").transform(li.where("l_orderkey % 5 = 0"))
+    told = models.GaussianNB(_NB).fit(li.where("l_orderkey % 5 <> 0"), "y").transform(li)
     best = told.groupBy("l_orderkey", "l_linenumber").agg(F.max("score_0").alias("score_0"), F.max("score_1").alias("score_1"))
     best = best.withColumns({"probability_1": 1 / (1 + F.exp(F.col("score_0") - F.col("score_1"))), "prediction": F.when(F.col("score_0") >= F.col("score_1"), 0).otherwise(1)})
     return out(best, ["l_orderkey", "l_linenumber"], ["score_0", "score_1", "probability_1", "prediction"])
 
 
-def _training(spark, sf_dir):
-    b = _returns(spark, sf_dir)
-    b = b.withColumns({"ret_lag_1": F.lag("ret", 1).over(BARS.w), "ret_lag_2": F.lag("ret", 2).over(BARS.w), "target": forward_return(BARS, "close")})
-    return b.na.drop().select("series", "ts", "ret", "ret_lag_1", "ret_lag_2", "target")
-
-
-_INPUTS = ["ret", "ret_lag_1", "ret_lag_2"]
-
-
-@register("gbt_forecast")
-def gbt_forecast(spark, sf_dir):
-    """Boosted trees on the first rows of each series, told on the last."""
-    d = splits.sequential_split(_training(spark, sf_dir), BARS, 0.8, 0.0, 0.2)
-    model = models.Trees(_INPUTS, trees=10, depth=3).fit(d.where("split = 'train'"), "target")
-    return out(model.transform(d.where("split = 'test'")), K, ["target", "prediction"])
-
-
-@register("walk_forward")
-def walk_forward(spark, sf_dir):
-    return out(models.walk_forward(_training(spark, sf_dir), BARS, _INPUTS, "target", start=400, rounds=3), [*K, "fold"], ["target", "prediction"])
-
-
-@register("permutation_importance")
-def permutation_importance(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(*_NB, F.expr("CAST(l_returnflag = 'R' AS INT)").alias("y"))
-    nb = models.GaussianNB(_NB).fit(li, "y")
-    return out(models.permutation_importance(li, nb.transform, _NB, "y", repeats=2), ["feature"], ["importance", "deviation"])
-
-
-@register("hyperparameter_search")
-def hyperparameter_search(spark, sf_dir):
-    """A seeded search over two expanding folds."""
-    p, loss = models.search(_training(spark, sf_dir), BARS, _INPUTS, "target", splits.time_series_folds(600, 2), trials=2, space={"trees": (3, 6), "depth": (2, 3)})
-    return spark.createDataFrame([(p["trees"], p["depth"], float(p["rate"]), float(p["subsample"]), float(loss))], "trees int, depth int, rate double, subsample double, loss double")
-
-
 @register("regime_thresholds", "SELECT event_id, CASE WHEN value / 200 >= 0.40 THEN 'crisis' WHEN value / 200 >= 0.25 THEN 'high' WHEN value / 200 <= 0.10 THEN 'low' ELSE 'normal' END AS regime FROM events")
 def regime_thresholds(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", volatility_regime(F.col("value") / 200).alias("regime"))

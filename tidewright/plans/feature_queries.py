@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from tidewright.functions.series import blocked, owned
+from tidewright.functions.series import running
 from tidewright.operators import features, indicators
 from tidewright.plans.catalog import register
 from tidewright.plans.inputs import BARS, EVENTS, SQL_BARS, SQL_DAILY, SQL_EVENTS, SQL_GAPPY, TS, W, bars_daily, bars_hourly, events, fullw, gappy, out, rnd, table
@@ -44,8 +46,8 @@ def rolling_basic(spark, sf_dir):
 @register("rolling_blocked", f"WITH {SQL_EVENTS} SELECT series, event_id, {', '.join(rnd(e, c) for c, e in _ROLL.items())} FROM ev")
 def rolling_blocked(spark, sf_dir):
     """The same windows with each series cut into blocks that overlap, so that one long series is no single task."""
-    rows, spec = blocked(events(spark, sf_dir), EVENTS, lookback=19, block=500)
-    return out(owned(features.rolling_features(rows, spec, ["value"], (5, 20), ("mean", "std", "min", "max", "sum"))), ["series", "event_id"], list(_ROLL))
+    spec = replace(EVENTS, longest=500)
+    return out(features.rolling_features(events(spark, sf_dir), spec, ["value"], (5, 20), ("mean", "std", "min", "max", "sum")), ["series", "event_id"], list(_ROLL))
 
 
 _QUANT = {f"value_rolling_{s}_10": f"quantile_cont(value, {q}) OVER ({_EV_W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)" for s, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))}
@@ -67,8 +69,22 @@ def simple_returns(spark, sf_dir):
     return out(features.price_returns(gappy(spark, sf_dir), EVENTS, ["value"], log=False), ["series", "event_id"], [f"value_return_{k}" for k in _PERIODS])
 
 
-_bars("forward_returns", lambda b: b.withColumns({f"forward_{k}": features.forward_return(BARS, "close", k) for k in (1, 5)}), {f"forward_{k}": f"lead(close, {k}) OVER ({W}) / NULLIF(close, 0) - 1" for k in (1, 5)})
-_bars("cumulative", lambda b: b.withColumn("r", F.coalesce(features.log_return(BARS, "close"), F.lit(0.0)) / 100).withColumn("equity", F.product(1 + F.col("r")).over(BARS.past)).withColumn("drawdown", F.col("equity") / F.max("equity").over(BARS.past) - 1),
+
+
+def _forward(b):
+    for k in (1, 5):
+        b = features.with_forward_return(b, BARS, "close", k, f"forward_{k}")
+    return b
+
+
+def _equity(b):
+    r = features.with_log_return(b, BARS, "close", name="r")
+    grown = running(r, BARS, {"equity": ("product", 1 + F.coalesce(F.col("r"), F.lit(0.0)) / 100)})
+    return running(grown, BARS, {"peak": ("max", F.col("equity"))}).withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
+
+
+_bars("forward_returns", _forward, {f"forward_{k}": f"lead(close, {k}) OVER ({W}) / NULLIF(close, 0) - 1" for k in (1, 5)})
+_bars("cumulative", _equity,
       {"equity": "equity", "drawdown": f"equity / max(equity) OVER ({W} ROWS UNBOUNDED PRECEDING) - 1"},
       f"r AS (SELECT series, ts, coalesce({_LOGR.format(k=1, w=W)}, 0) / 100 AS r FROM bars), z AS (SELECT series, ts, product(1 + r) OVER ({W} ROWS UNBOUNDED PRECEDING) AS equity FROM r)")
 

@@ -237,6 +237,17 @@ def corr_topk_spearman(spark, sf_dir):
     return out(top_correlated(table(spark, sf_dir, "lineitem"), "l_extendedprice", _CORR, 3, "spearman"), ["feature"], ["correlation"])
 
 
+_PARTS = ["p_size", "p_retailprice"]
+_PAIR = "SELECT '{c}' AS feature, abs(sum(sign(CAST(a.{c} AS DOUBLE) - b.{c}) * sign(CAST(a.p_partkey % 977 AS DOUBLE) - b.p_partkey % 977)) / sqrt(CAST(count(*) FILTER (WHERE a.{c} <> b.{c}) AS DOUBLE) * count(*) FILTER (WHERE a.p_partkey % 977 <> b.p_partkey % 977))) AS correlation FROM part a, part b"
+
+
+@register("corr_topk_kendall", f"WITH c AS ({' UNION ALL '.join(_PAIR.format(c=c) for c in _PARTS)}) SELECT feature, {rnd('correlation', 'correlation')} FROM c")
+def corr_topk_kendall(spark, sf_dir):
+    """Counted by ranges of values; the oracle compares all pairs of rows."""
+    p = table(spark, sf_dir, "part").select(*_PARTS, (F.col("p_partkey") % 977).alias("k"))
+    return out(top_correlated(p, "k", _PARTS, 2, "kendall"), ["feature"], ["correlation"])
+
+
 @register("profile_summary", f"""WITH e AS (SELECT event_type, user_id % 10 AS u, CASE WHEN event_id % 7 <> 0 THEN CAST(floor(value / 10) AS BIGINT) END AS v FROM events),
 g AS (SELECT event_type, u, v, count(*) AS n FROM e GROUP BY ALL)
 SELECT CAST(sum(n) AS BIGINT) AS "rows", CAST(sum(CASE WHEN v IS NULL THEN n ELSE 0 END) AS BIGINT) AS missing_cells, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, 3 AS columns, 2 AS numeric_columns, {rnd("sum(CASE WHEN v IS NULL THEN n ELSE 0 END) / (sum(n) * 3)", "missing_share")} FROM g""")

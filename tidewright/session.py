@@ -1,8 +1,11 @@
-"""Session settings of the engine."""
+"""Session settings of the engine, and the folder that executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC keeps buckets and calendars independent of the machine; adaptive execution splits skewed joins and merges small partitions.
 SETTINGS = {
@@ -28,3 +31,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset a session in one process takes a temporary folder; on a cluster that would be another disk for
+    every executor, so it is an error.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="tidewright-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/tidewright/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read again: later plans neither recompute it nor lose it with an executor."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import copy
 import json
-from pathlib import Path
 from typing import Any
 
+from tidewright.sources import files
+
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "number": (int, float), "null": type(None)}
 
 
 def load(path: str) -> dict:
     """A JSON file, or a YAML one where a YAML reader is installed."""
-    text = Path(path).read_text()
+    text = files.read_text(path)
     if path.endswith((".yaml", ".yml")):
         try:
             import yaml

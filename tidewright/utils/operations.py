@@ -13,10 +13,10 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewright.sources import files
 from tidewright.sources.readers import encode, load_json, save_json
 
 
@@ -63,27 +63,26 @@ class Steps:
 
     def table(self, step: str, make: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.folder}/{step}.parquet"
-        if not (Path(path) / "_SUCCESS").exists():
+        if not files.exists(f"{path}/_SUCCESS"):
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
     def value(self, step: str, make: Callable[[], object]) -> object:
-        path = Path(f"{self.folder}/{step}.json")
-        if not path.exists():
-            save_json(make(), str(path))
-        return load_json(str(path))
+        path = f"{self.folder}/{step}.json"
+        if not files.exists(path):
+            save_json(make(), path)
+        return load_json(path)
 
     def done(self) -> list[str]:
-        return sorted(p.stem for p in Path(self.folder).glob("*")) if Path(self.folder).exists() else []
+        return [n.rsplit(".", 1)[0] for n in files.listed(self.folder)]
 
 
 class Tracker:
-    """Runs of an experiment as JSON files: parameters, metrics by step, tags, artifacts."""
+    """Runs of an experiment as JSON files, wherever the folder lies: parameters, metrics by step, tags, artifacts."""
 
     def __init__(self, folder: str, experiment: str):
-        self.folder = Path(folder) / experiment
-        self.folder.mkdir(parents=True, exist_ok=True)
-        self.lock = threading.Lock()
+        self.folder = f"{folder.rstrip('/')}/{experiment}"
+        self.lock = threading.RLock()
 
     @contextmanager
     def run(self, name: str = "", **tags: str) -> Iterator[str]:
@@ -97,20 +96,25 @@ class Tracker:
         self._update(run_id, status="finished", end=time.time())
 
     def _write(self, run_id: str, record: dict) -> None:
-        at = self.folder / f"{run_id}.json"
-        new = at.with_suffix(".new")
-        new.write_text(json.dumps(record, default=encode))
-        new.replace(at)
+        files.write_text(f"{self.folder}/{run_id}.json", json.dumps(record, default=encode))
 
     def _update(self, run_id: str, **changes) -> None:
         with self.lock:
             self._write(run_id, self.get(run_id) | changes)
 
     def get(self, run_id: str) -> dict:
-        return load_json(str(self.folder / f"{run_id}.json"))
+        return load_json(f"{self.folder}/{run_id}.json")
+
+    def known(self, run_id: str) -> bool:
+        return files.exists(f"{self.folder}/{run_id}.json")
+
+    def artifact_path(self, run_id: str) -> str:
+        """Where a run's own files go."""
+        return f"{self.folder}/artifacts/{run_id}"
 
     def params(self, run_id: str, **values) -> None:
-        self._update(run_id, params=self.get(run_id)["params"] | values)
+        with self.lock:
+            self._update(run_id, params=self.get(run_id)["params"] | values)
 
     def metric(self, run_id: str, name: str, value: float, step: int = 0) -> None:
         with self.lock:
@@ -119,17 +123,18 @@ class Tracker:
             self._write(run_id, record)
 
     def artifact(self, run_id: str, path: str) -> None:
-        self._update(run_id, artifacts=[*self.get(run_id)["artifacts"], path])
+        with self.lock:
+            self._update(run_id, artifacts=[*self.get(run_id)["artifacts"], path])
 
     def list(self, **tags: str) -> list[dict]:
-        runs = [load_json(str(p)) for p in self.folder.glob("*.json")]
+        runs = [load_json(f"{self.folder}/{n}") for n in files.listed(self.folder) if n.endswith(".json")]
         return sorted((r for r in runs if all(r["tags"].get(k) == v for k, v in tags.items())), key=lambda r: r["start"])
 
     def cleanup(self, keep: int) -> int:
         """Removes the oldest runs beyond a number; returns how many."""
         old = self.list()[: -keep or None]
         for r in old:
-            (self.folder / f"{r['run']}.json").unlink()
+            files.remove(f"{self.folder}/{r['run']}.json")
         return len(old)
 
 
