@@ -4,29 +4,22 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Characters that a worker turns into Python or numpy objects at a time; one longer text still goes whole.
-SLICE_CHARS = 4_000_000
+from tidewright.session import shared_dir
 
+__all__ = ["cut", "hold", "map_texts", "mix", "powers", "prefix_hash", "ranges_of", "release", "shared_dir", "span_hash", "tidied", "window_hashes", "word_hashes"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir (a temporary one only where that is unset)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/tidewright/{uuid.uuid4().hex}"
+#: Characters that a worker turns into Python or numpy objects at a time; one longer text still goes whole.
+SLICE_CHARS = 4_000_000
 
 
 def cut(df: DataFrame, small: bool = False, compression: str = "zstd") -> DataFrame:
@@ -73,9 +66,13 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
     """Rows of ``keep`` beside the columns that a function derives from whole texts.
 
     ``make()`` is called once for each task and returns the function: from a list of texts (None: null)
-    to a dict of equally long columns. Columns other than those named don't reach the workers.
+    to a dict of equally long columns. Columns other than those named don't reach the workers; one to keep that has the
+    name of a derived one gives way to it.
     """
-    out_schema = StructType([*df.select(*[df[c] for c in keep]).schema.fields, *StructType.fromDDL(schema).fields])
+    made_fields = StructType.fromDDL(schema).fields
+    derived = {f.name.lower() for f in made_fields}
+    keep = [c for c in keep if c.lower() not in derived]
+    out_schema = StructType([*df.select(*[df[c] for c in keep]).schema.fields, *made_fields])
     types = {f.name: f.type for f in to_arrow_schema(out_schema)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +110,10 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
 
+#: Powers that a worker keeps; those that a longer text needs are made for it alone.
+_KEPT_POWERS = 1 << 22
+
+
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """Powers 0..n-1 of an odd base (or of its inverse) modulo 2**64."""
     key = "inverse" if inverse else "base"
@@ -121,7 +122,9 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         size = max(n, 1 << 16)
         step = np.full(size, pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
         step[0] = 1
-        _POWERS[key] = have = np.multiply.accumulate(step)
+        have = np.multiply.accumulate(step)
+        if size <= _KEPT_POWERS:
+            _POWERS[key] = have
     return have[:n]
 
 
@@ -147,17 +150,27 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+#: Bytes hashed at a time; a part ends at white space, so that only a longer word makes it longer.
+_PART = 2_000_000
+
+
 def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words [^\\x20\\x09-\\x0D]+ of a few texts: (hash, index of the text, start byte, end byte); bytes count from the joined texts."""
-    data = np.frombuffer(b"\n".join((t or "").encode("utf-8", "surrogatepass") for t in texts) + b"\n", np.uint8)
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     if lower:
         data = _LOWER[data]
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
     start, stop = edge[::2], edge[1::2]
-    sizes = np.fromiter((len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts), np.int64, len(texts))
-    doc = np.searchsorted(np.cumsum(sizes), start, side="right")
-    return span_hash(prefix_hash(data), start, stop), doc, start, stop
+    found, a = [np.zeros(0, np.uint64)], 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(stop, start[a] + _PART, side="right")))
+        at = start[a]
+        found.append(span_hash(prefix_hash(data[at : stop[b - 1]]), start[a:b] - at, stop[a:b] - at))
+        a = b
+    doc = np.searchsorted(np.cumsum([len(x) + 1 for x in raw]), start, side="right")
+    return np.concatenate(found), doc, start, stop
 
 
 def window_hashes(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,8 +1,10 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 A page is cut into blocks of text between block-level tags. A block is described by its word count and link density,
-those of its neighbours, whether it is a paragraph or heading, and whether its ancestors' names say article or page
-furniture. A tree grown from LABELLED, a table of labelled blocks, keeps or drops it.
+those of its neighbours, whether it is a paragraph or heading, whether its ancestors say that it belongs to an article,
+and how much they say that it is page furniture. A name that only hints at furniture counts the less, the more of the
+page's text it holds, and not at all on what holds the article or its heading. A tree grown from LABELLED, a table of
+labelled blocks, keeps or drops a block; half of its rows come without what the tags say, so that it can do without.
 """
 
 from __future__ import annotations
@@ -24,70 +26,136 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 FURNITURE = frozenset("nav header footer aside form menu button dialog figcaption".split())
 ARTICLE = frozenset("article main".split())
-_FURNITURE_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|copyright|legal|side|sidebar|widget|related|recommend\w*|share|social|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|form|search|comments?|replies|reply|respond|discussion|disqus|tags?|pagination|pager|skip|toolbar|meta|byline)(?:$|[\s_-])", re.I)
+#: Words of names that say furniture wherever they stand, and such as may stand on what holds the article as well.
+_FURNITURE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|masthead|footer|foot|copyright|sidebar|widget|recommend\w*|cookies?|consent|popup|modal|newsletter|subscribe|signup|login|comments?|replies|reply|respond|discussion|disqus|pagination|pager|skip|toolbar)(?:$|[\s_-])", re.I)
+_FURNITURE_HINT = re.compile(r"(?:^|[\s_-])(?:promo\w*|header|legal|side|related|share|social|notice|alert|form|search|tags?|meta|byline)(?:$|[\s_-])", re.I)
 _ARTICLE_HINT = re.compile(r"(?:^|[\s_-])(?:article|post|story|entry|content|body|main|text)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPACE = re.compile(r"[\s​﻿]+")
-_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in HIDDEN}
+_SPACE = re.compile(r"\s+")
+_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in HIDDEN}
+#: Elements whose content is no markup: without an end tag they reach to the end of the page, as browsers have it.
+RAW = frozenset("script style iframe textarea title".split())
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "prose", "article", "furniture"]
-#: A small labelled table of block kinds: words, links (share of words in links), prose, article, furniture (1 or 0),
-#: then 1 if such a block belongs to the main text; + where it does only between blocks of running text.
+#: A small labelled table of pages: words, links (share of words in links), prose (a paragraph or heading), article,
+#: furniture (0 to 1), then 1 if the block belongs to the main text. Neighbours are the lines around; a blank line ends a page.
 LABELLED = """
 1 1 0 0 1 0
-2 0 0 0 1 0
-8 0 0 0 1 0
-14 0 1 0 1 0
-40 0 1 0 1 0
-9 0 1 1 1 0
-45 0 1 1 1 0
-120 0.1 0 1 1 0
-1 0 1 1 0 1
+1 1 0 0 1 0
+2 1 0 0 1 0
+7 0 0 0 1 0
+9 0 1 1 0 1
+31 0 1 1 0 1
+84 0 1 1 0 1
 2 0 1 1 0 1
+47 0.04 1 1 0 1
+14 0.1 0 0 1 0
+
+1 1 0 0 1 0
+1 1 0 0 1 0
+3 0 0 0 1 0
+1 0 1 1 0 1
+1 0 1 1 0 1
+8 0 0 0 1 0
+
+1 1 0 0 1 0
+16 0 0 0 1 0
+12 0 1 1 0 1
 4 0 1 1 0 1
-11 0 1 1 0 1
-30 0.2 1 1 0 1
 140 0 1 1 0 1
-6 0.5 1 1 0 1
-12 1 1 1 0 1
-4 0 0 1 0 1
-25 0.1 0 1 0 1
-90 0 0 1 0 1
-1 1 0 1 0 0
-6 0.9 0 1 0 0
-12 1 0 1 0 0
-8 0 1 0 0 +
-3 0 1 0 0 +
-18 0.1 1 0 0 1
-60 0 1 0 0 1
-150 0 1 0 0 1
-5 1 1 0 0 0
-20 0.8 1 0 0 0
+6 0 1 1 0 1
+21 0 0 0 1 0
+
+3 1 0 0 0 0
+1 1 0 0 0 0
+1 1 0 0 0 0
+2 1 0 0 0 0
+4 0.75 0 0 0 0
+7 0 1 0 0 1
+3 0.3 0 0 0.7 0
+52 0 1 0 0 1
+90 0.03 1 0 0 1
+24 0.1 1 0 0 1
+66 0 1 0 0 1
 2 0 0 0 0 0
+6 1 0 0 0 0
+8 1 0 0 0 0
+5 1 0 0 0 0
+11 0.6 0 0 0 0
+
+1 1 0 0 0 0
+2 1 0 0 0 0
 5 0 0 0 0 0
-12 0 0 0 0 +
-35 0.1 0 0 0 1
-100 0 0 0 0 1
+48 0 0 0 0 1
+120 0.02 0 0 0 1
+35 0 0 0 0 1
+75 0 0 0 0 1
+4 0 0 0 0 0
 3 1 0 0 0 0
-10 0.7 0 0 0 0
-40 0.9 0 0 0 0
+9 0.4 0 0 0 0
+
+2 1 0 0 1 0
+8 0 1 1 0.1 1
+41 0 1 1 0.1 1
+1 0 1 1 0.1 1
+95 0.1 1 1 0.2 1
+12 0 0 0 1 0
+
+6 0 1 0 0.1 1
+58 0 1 0 0.1 1
+22 0 1 0 0.2 1
+2 0 0 0 0.9 0
+3 1 0 0 0.9 0
+
+10 0 1 1 0 1
+27 0 1 1 0 1
+5 0 0 1 0 1
+3 0 0 1 0 1
+1 0 0 1 0 1
+14 0 0 1 0 1
+40 0.2 1 1 0 1
+12 1 1 1 0 1
+6 1 0 1 0 0
+7 1 0 1 0 0
+5 1 0 1 0 0
+
+9 0 1 1 0 1
+63 0 1 1 0 1
+2 0 1 0 1 0
+18 0 1 0 1 0
+33 0 1 1 1 0
+55 0 1 0 1 0
+4 0 0 0 1 0
+1 0 0 0 1 0
+
+26 0.1 0 0 1 0
+2 0 0 0 1 0
+1 1 0 0 1 0
+11 0 1 1 0 1
+38 0 0 1 0 1
+70 0 1 1 0 1
+9 0 0 1 1 0
+3 0 0 1 1 0
+30 0.3 0 0 1 0
+5 0 0 0 1 0
 """
-#: Neighbours that each kind is seen between: words and links; (0, 0) is the edge of a page.
-NEIGHBOURS = ((0, 0), (1, 1), (4, 0), (12, 0.9), (25, 0), (80, 0.05))
 
 
 def labelled() -> tuple[np.ndarray, np.ndarray]:
-    """Every kind of the table between every pair of neighbours: features and labels."""
+    """The table's features and labels, with what the tags say, and again without it but for what only they can tell."""
     x, y = [], []
-    for line in LABELLED.strip().splitlines():
-        *kind, label = line.split()
-        words, links, *flags = map(float, kind)
-        for before in NEIGHBOURS:
-            for after in NEIGHBOURS:
-                x.append([words, links, *before, *after, *flags])
-                y.append(int(label) if label != "+" else int(any(w >= 20 and k < 0.5 for w, k in (before, after))))
+    edge = [0.0, 0.0]
+    for page in LABELLED.strip().split("\n\n"):
+        rows = [[float(v) for v in line.split()] for line in page.split("\n")]
+        for k, (words, links, prose, article, furniture, label) in enumerate(rows):
+            around = [*(rows[k - 1][:2] if k else edge), *(rows[k + 1][:2] if k + 1 < len(rows) else edge)]
+            x.append([words, links, *around, prose, article, furniture])
+            y.append(int(label))
+            if not (label == 0 and prose or label == 1 and not prose and words < 20):
+                x.append([words, links, *around, prose, 0.0, 0.0])
+                y.append(int(label))
     return np.array(x, float), np.array(y)
 
 
@@ -115,21 +183,37 @@ def judge(tree: tuple, row: list[float]) -> float:
     return tree[0]
 
 
+class _Open:
+    """An open element: what its tag and names say, and the running text inside it."""
+
+    __slots__ = ("name", "article", "named", "hinted", "holds", "words")
+
+    def __init__(self, name: str, article: bool, named: bool, hinted: bool):
+        self.name, self.article, self.named, self.hinted = name, article, named, hinted
+        self.holds = article and not hinted and name in ARTICLE  # the article or its heading lies inside
+        self.words = 0
+
+
 def blocks(html: str | None) -> list[tuple[str, list[float]]]:
     """The text blocks of a page in order: (text, its own features: words, links, prose, article, furniture)."""
     html = html or ""
-    out: list[tuple[str, list[float]]] = []
-    open_tags: list[tuple[str, int, int]] = []  # name, says article, says furniture
+    out: list[tuple[str, int, float, bool, list[_Open]]] = []
+    open_tags: list[_Open] = []
     text: list[str] = []
     linked: list[str] = []
-    in_link, at, prose = 0, 0, False
+    in_link, at, prose, total = 0, 0, False, 0
 
     def close_block():
+        nonlocal total
         found = _SPACE.sub(" ", unescape("".join(text))).strip()
         if found:
             n = found.count(" ") + 1
             links = len(_SPACE.sub(" ", unescape("".join(linked))).split())
-            out.append((found, [n, min(1.0, links / n), float(prose), float(any(t[1] for t in open_tags)), float(any(t[2] for t in open_tags))]))
+            out.append((found, n, min(1.0, links / n), prose, list(open_tags)))
+            plain = max(0, n - links)
+            total += plain
+            for t in open_tags:
+                t.words += plain
         text.clear()
         linked.clear()
 
@@ -150,7 +234,10 @@ def blocks(html: str | None) -> list[tuple[str, list[float]]]:
             continue
         if name in HIDDEN and not m[1]:
             if name != "head":  # its children hide themselves; some pages never close it
-                at = _END[name].search(html, at).end()
+                end = _END[name].search(html, at)
+                closed = m[3].rstrip().endswith("/") and (name not in RAW or end is None)
+                if not closed and (end or name in RAW):
+                    at = end.end() if end else len(html)
             continue
         if name == "br":
             add(" ")
@@ -165,17 +252,38 @@ def blocks(html: str | None) -> list[tuple[str, list[float]]]:
         in_link = 0
         if m[1]:
             for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
+                if open_tags[k].name == name:
                     del open_tags[k:]
                     break
         elif name not in VOID and not m[3].endswith("/"):
-            if open_tags and open_tags[-1][0] in SELF_CLOSING and (open_tags[-1][0] == name or open_tags[-1][0] == "p"):
+            if open_tags and open_tags[-1].name in SELF_CLOSING and (open_tags[-1].name == name or open_tags[-1].name == "p"):
                 open_tags.pop()
             names = " ".join("".join(x) for x in _NAMES.findall(m[3]))
-            open_tags.append((name, int(name in ARTICLE or bool(_ARTICLE_HINT.search(names))), int(name in FURNITURE and not (name == "header" and any(t[0] == "article" for t in open_tags)) or bool(_FURNITURE_HINT.search(names)))))
-        prose = any(t[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") for t in open_tags[-2:])
+            header = name == "header" and any(t.name == "article" for t in open_tags)
+            if name in ARTICLE or name == "h1":
+                for t in open_tags:
+                    t.holds = True
+            article = name in ARTICLE or bool(_ARTICLE_HINT.search(names))
+            open_tags.append(_Open(name, article, name in FURNITURE and not header, False))
+            own = open_tags[-1]
+            if names and not own.named:
+                own.named = bool(_FURNITURE_NAME.search(names)) and name not in ARTICLE
+                own.hinted = bool(_FURNITURE_HINT.search(names))
+        prose = any(t.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") for t in open_tags[-2:])
     close_block()
-    return out
+
+    def furniture(tags: list[_Open]) -> float:
+        most = 0.0
+        for t in tags:
+            if t.name in ("body", "html"):
+                continue
+            if t.named and not (t.holds and t.name not in FURNITURE):
+                return 1.0
+            if t.hinted and not t.holds:
+                most = max(most, 1 - t.words / total if total else 1.0)
+        return most
+
+    return [(found, [n, links, float(p), float(any(t.article for t in tags)), furniture(tags)]) for found, n, links, p, tags in out]
 
 
 def main_text(html: str | None, tree: tuple) -> str:
@@ -188,7 +296,10 @@ def main_text(html: str | None, tree: tuple) -> str:
 
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
-    """Columns ``keep`` with text and n_chars of each page; null or empty html gives an empty text. Repeated rows stay."""
+    """Columns ``keep`` with text and n_chars of each page; null or empty html gives an empty text. Repeated rows stay.
+
+    An empty table gives no rows. A kept column named text or n_chars gives way to the operator's.
+    """
     tree = grow(*labelled())
 
     def make():

@@ -13,7 +13,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Drops documents whose language the compression classifier rejects; it learns from the folds of documents that it may."""
     from tidewright.llm.langid import classify, learn
 
-    return classify(docs, learn(docs), keep=docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    return classify(docs, learn(docs), keep=docs.columns, prefix="_found_").where(~F.col("_found_rejected")).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
