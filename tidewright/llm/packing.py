@@ -192,7 +192,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id:
 
     Columns: doc_id, start (the document's ids before the piece), length, ids_crc32 (of the piece's ids as unsigned
     32-bit little-endian), doc_tokens (with the end id), sequence_id, offset (in the sequence) and, if asked for, ids.
-    A null or empty text is its end id alone. Repeated rows are packed each; an empty table gives no rows. All
+    A null or empty text is its end id alone. Repeated rows are packed each; an empty table gives no rows. A string of
+    one of the tokenizer's added tokens becomes its id, as the library has it. Neighbours are scored by all terms. All
     sequences are full but the last of a range, whose ids go into sequences of powers of two.
     """
     spark = docs.sparkSession
@@ -200,8 +201,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id:
     n_docs, total = encoded.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     corpus = spark.sparkContext.broadcast((term_counts(encoded), n_docs, total / max(1, n_docs)))
     ranges = max(1, -(-total // RANGE_IDS))
-    # the id breaks ties between equal min-hashes, so that no value can hold a range by itself
-    dealt = encoded.withColumn("h3", F.xxhash64("doc_id")).repartitionByRange(ranges, "h1", "h2", "h3").sortWithinPartitions("h1", "h2", "h3", "doc_id", "ids").select("doc_id", "n", "ids")
+    # a number of each row breaks ties between equal min-hashes, so that no value can hold a range by itself
+    dealt = encoded.withColumn("h3", F.xxhash64("doc_id", F.monotonically_increasing_id())).repartitionByRange(ranges, "h1", "h2", "h3").sortWithinPartitions("h1", "h2", "h3", "doc_id", "ids").select("doc_id", "n", "ids")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

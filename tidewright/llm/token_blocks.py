@@ -31,8 +31,8 @@ from tidewright.llm.tokens import encoder
 MAGIC = b"TWPFOR01"
 BLOCK = 256
 PERCENTILE = 0.9
-#: A worker closes a file at so many ids, so that neither writer nor reader holds more.
-FILE_IDS = 1_500_000
+#: A worker closes a file at so many ids, so that neither writer nor reader holds more. Bytes of text that a task encodes.
+FILE_IDS, TASK_BYTES = 1_500_000, 64_000_000
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -155,12 +155,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     """Encodes whole texts and writes them as token files in ascending id order; returns the manifest, one row a file.
 
     Null texts count as empty; every document ends with end_id. A null id comes first; rows with the same id are
-    ordered by text. A task may run again: it writes under a name of its own and then renames, so files are whole.
-    Manifest: part, seq (the order of files), path, n_docs, n_ids.
+    ordered by a hash of their text, so that one id's rows can fill many tasks. A string of one of the tokenizer's added
+    tokens becomes its id. A task may run again: it writes under a name of its own and then renames, so files are
+    whole. An empty table gives no files. Manifest: part, seq (the order of files), path, n_docs, n_ids.
     """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_docs = docs.select(docs[id_col].cast("bigint").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    source = docs.select(docs[id_col].cast("bigint").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    sorted_docs = source.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -203,12 +206,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 def read_token_files(spark: SparkSession, manifest: DataFrame, ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document, decoded from the files of a manifest.
 
-    start counts the ids of all documents before it: those of earlier files come from the manifest, which has one
-    small row a file.
+    start counts the ids of all documents before it: those of earlier files come from the manifest's counts, summed by
+    part.
     """
-    w = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    starts = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(w), F.lit(0))).select("path", "start").repartition(n)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-manifest.count() // 16))
+    # parts are as many as the writing tasks: their sums are put in order by themselves, and files within their part
+    sums = manifest.groupBy("part").agg(F.sum("n_ids").alias("s"))
+    before = sums.withColumn("before", F.sum("s").over(Window.orderBy("part")) - F.col("s")).select("part", "before")
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
+    starts = manifest.withColumn("inside", inside).join(F.broadcast(before), "part").select("path", (F.col("before") + F.col("inside")).alias("start")).repartition(n)
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 Both byte-pair vocabularies split a text into chunks by a pattern before any merge, so a chunk's ids do not depend
 on its neighbours. Within the alphabet SAFE (Latin letters that are their own NFC form) the pattern can be run by
-``re``; a text with any other character goes to the library whole.
+``re``; a text with any other character, or with the string of an added token, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -41,7 +41,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        #: What every added token's string begins with, as far as no letter case matters, and all of them.
+        self.mark = re.match(r"[^a-zA-Z]*", os.path.commonprefix(added))[0]
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.model = self.tokenizer.model
         self.lower = kind == "word"
         self.chunks = (WORD_CHUNKS if self.lower else BYTE_CHUNKS).findall
@@ -59,7 +62,7 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        if UNSAFE.search(text):
+        if UNSAFE.search(text) or self.added and self.mark in text and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         if len(self.table) > TABLE:
             self.table.clear()
