@@ -1,11 +1,15 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through shared line hashes: a line that several documents hold leads each of them to
-the earliest one, so a line with many holders makes as many pairs as holders and never pairs of all with all. Shared
-runs of consecutive lines can lead in the same way, for blocks whose lines have other earliest holders each. Each pair
-is aligned by patience diff: lines that occur once in both documents, in the longest run that keeps both orders,
-are the fixed points; between them the same is done again, and equal lines beside them join in. Aligned blocks of
-BLOCK_CHARS characters or more are deleted from the later document.
+Documents that overlap are found through shared hashes of their lines: the shortest runs of consecutive lines that
+reach BLOCK_CHARS characters, a line that is long enough being a run by itself. A single short line is in too many
+documents to say anything; a run is rare. Each shared run leads its holders to the earliest of them, so one with many
+holders makes as many pairs as holders and never pairs of all with all.
+
+Each pair is aligned by patience diff: lines that occur once in both documents, in the longest run that keeps both
+orders, are the fixed points; between them the same is done again, and equal lines beside them join in. Runs that stand
+in another order in the two documents, which no alignment holds at once, are then aligned by themselves. Aligned blocks
+of BLOCK_CHARS characters or more are deleted from the later document. Since a block holds a run at each of its lines,
+and every run was tried with its earliest holder, no block that an earlier document holds is missed.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import cut, hold, prefix_hash, ranges_of, release, span_hash, tidied
 
-#: Characters of a line that can lead to another document, and of an aligned block that is deleted.
-LINE_CHARS, BLOCK_CHARS = 20, 60
+#: Characters of an aligned block that is deleted, and of a run that leads to another document.
+BLOCK_CHARS = 60
 _NO_ID = -(1 << 63)
 
 
-def line_hashes(texts: list[str], run_chars: int | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def line_hashes(texts: list[str], run_chars: int = BLOCK_CHARS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each text the hashes of its lines, their characters, and the hashes of its shortest runs of ``run_chars`` characters.
 
     Of runs there are the shortest that begins and the shortest that ends with each line, so that those within a block
@@ -44,15 +48,13 @@ def line_hashes(texts: list[str], run_chars: int | None = None) -> list[tuple[np
     edges = np.searchsorted(stop, np.cumsum([len(x) for x in raw]))
     out = []
     for a, b in zip([0, *edges[:-1].tolist()], edges.tolist(), strict=True):
-        runs = np.zeros(0, np.int64)
-        if run_chars is not None:
-            upto = np.cumsum(size[a:b])
-            before = upto - size[a:b]
-            last = np.searchsorted(upto, before + run_chars)
-            first = np.searchsorted(before, upto - run_chars, side="right") - 1
-            i = np.concatenate([np.flatnonzero(last < b - a), first[first >= 0]])
-            j = np.concatenate([last[last < b - a], np.flatnonzero(first >= 0)])
-            runs = np.unique(span_hash(prefix, start[a + i], stop[a + j]).view(np.int64))
+        upto = np.cumsum(size[a:b])
+        before = upto - size[a:b]
+        last = np.searchsorted(upto, before + run_chars)
+        first = np.searchsorted(before, upto - run_chars, side="right") - 1
+        i = np.concatenate([np.flatnonzero(last < b - a), first[first >= 0]])
+        j = np.concatenate([last[last < b - a], np.flatnonzero(first >= 0)])
+        runs = np.unique(span_hash(prefix, start[a + i], stop[a + j]).view(np.int64))
         out.append((h[a:b], size[a:b], runs))
     return out
 
@@ -104,42 +106,68 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(later: list[int], earlier: list[int], sizes: list[int], least: int = BLOCK_CHARS) -> list[int]:
-    """Lines of the later document in aligned blocks (consecutive in both) of ``least`` characters at least."""
-    out: list[int] = []
+def _runs(lines: list[int], sizes: list[int], least: int) -> list[tuple[int, int]]:
+    """First and last line of the shortest runs of ``least`` characters that begin, and that end, with each line."""
+    out, total, first, last = [], 0, 0, -1
+    for first in range(len(lines)):
+        while total < least and last + 1 < len(lines):
+            last += 1
+            total += sizes[last]
+        if total < least:
+            break
+        out.append((first, last))
+        total -= sizes[first]
+    total, first = 0, 0
+    for last in range(len(lines)):
+        total += sizes[last]
+        while total - sizes[first] >= least and first < last:
+            total -= sizes[first]
+            first += 1
+        if total >= least:
+            out.append((first, last))
+    return out
+
+
+def common_blocks(later: list[int], earlier: list[int], sizes: list[int], earlier_sizes: list[int], least: int = BLOCK_CHARS) -> list[int]:
+    """Lines of the later document in blocks (consecutive in both) of ``least`` characters at least."""
+    out: set[int] = set()
     run: list[int] = []
     before = None
     for i, j in [*patience(later, earlier), (None, None)]:
         if before is not None and (i is None or (i, j) != (before[0] + 1, before[1] + 1)):
             if sum(sizes[k] for k in run) >= least:
-                out += run
+                out.update(run)
             run = []
         if i is not None:
             run.append(i)
         before = (i, j)
-    return out
+    if len(out) < len(later):
+        held = None
+        for a, b in _runs(later, sizes, least):
+            if not all(k in out for k in range(a, b + 1)):
+                held = {tuple(earlier[p : q + 1]) for p, q in _runs(earlier, earlier_sizes, least)} if held is None else held
+                if tuple(later[a : b + 1]) in held:
+                    out.update(range(a, b + 1))
+    return sorted(out)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_chars: int = LINE_CHARS, block_chars: int = BLOCK_CHARS, runs: bool = False, with_key: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, with_key: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_removed, text): each document without the line blocks that align with an earlier one.
 
-    Earlier means a smaller id, a null id before all; among rows with the same id, a smaller hash of the text. Fully
-    equal rows are one document, told each time. Null text gives null text and no lines; a text is judged on the input,
-    not on what other deletions leave. Empty tables give no rows; columns other than the two named are not read.
-
-    runs: each shared run of ``block_chars`` characters leads to its earliest holder as well, whatever the length of its
-    lines. Without it only lines of ``line_chars`` characters lead, and a block in an earlier document is missed where
-    each of its lines has another earliest holder or none is as long. with_key adds key, the xxhash64 of the text as it
-    was: with the id it tells rows apart.
+    A block is a run of consecutive lines with ``block_chars`` characters or more, line ends not counted, that also
+    stands in an earlier document. Earlier means a smaller id, a null id before all; among rows with the same id, a
+    smaller hash of the text. Fully equal rows are one document, told each time. Null text gives null text and no
+    lines; a text is judged on the input, not on what other deletions leave. Empty tables give no rows; columns other
+    than the two named are not read. with_key adds key, the xxhash64 of the text as it was: with the id it tells rows
+    apart.
     """
     source = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_NO_ID)).alias("id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in ranges_of(batch.column(2), 500_000):
-                found = line_hashes(batch.column(2).slice(a, b - a).to_pylist(), block_chars if runs else None)
-                leads = [np.unique(np.concatenate([h[size >= line_chars], more])) for h, size, more in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.int32())), pa.array(leads, pa.list_(pa.int64()))], ["id", "key", "hashes", "sizes", "leads"])
+                found = line_hashes(batch.column(2).slice(a, b - a).to_pylist(), block_chars)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.int32())), pa.array([x[2] for x in found], pa.list_(pa.int64()))], ["id", "key", "hashes", "sizes", "leads"])
 
     split_lines = hold(source.where("text IS NOT NULL").mapInArrow(tidied(split), "id bigint, key bigint, hashes array<bigint>, sizes array<int>, leads array<bigint>"))
     lines = split_lines.select("id", "key", "hashes", "sizes")
@@ -149,16 +177,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = held.join(first, "h").where("id <> p_id OR key <> p_key").select("id", "key", "p_id", "p_key").distinct()
     # fully equal rows come with the same lines, and give the same deletions
     later = pairs.join(lines, ["id", "key"])
-    both = later.join(lines.select(F.col("id").alias("p_id"), F.col("key").alias("p_key"), F.col("hashes").alias("p_hashes")), ["p_id", "p_key"])
+    both = later.join(lines.select(F.col("id").alias("p_id"), F.col("key").alias("p_key"), F.col("hashes").alias("p_hashes"), F.col("sizes").alias("p_sizes")), ["p_id", "p_key"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at in ((x, k) for x in batches for k in range(0, x.num_rows, 500)):
             batch = whole.slice(at, 500)
-            found = [common_blocks(a, b, s, block_chars) for a, s, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            found = [common_blocks(a, b, s, t, block_chars) for a, s, b, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
             keep = [k for k, x in enumerate(found) if x]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), pa.array([found[k] for k in keep], pa.list_(pa.int32()))], ["id", "key", "gone"])
 
-    aligned = both.select("id", "key", "hashes", "sizes", "p_hashes").mapInArrow(tidied(align), "id bigint, key bigint, gone array<int>")
+    aligned = both.select("id", "key", "hashes", "sizes", "p_hashes", "p_sizes").mapInArrow(tidied(align), "id bigint, key bigint, gone array<int>")
     gone = cut(aligned.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), small=True)
     release(split_lines)
     # always by merging: whatever the size, texts stay where they are dealt to

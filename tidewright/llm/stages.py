@@ -20,7 +20,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Deletes line blocks that align with an earlier document; documents of which nothing is left go."""
     from tidewright.llm.line_dedup import dedup_lines
 
-    left = dedup_lines(docs, runs=True, with_key=True).where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0))
+    left = dedup_lines(docs, with_key=True).where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0))
     return _with_text(docs, left.select("doc_id", "key", "text"), F.xxhash64("text"))
 
 
