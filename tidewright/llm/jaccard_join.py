@@ -12,9 +12,11 @@ lies together in at least one. In a region:
   triangle inequality's window) and no chain of links joins them yet;
 * the least of those becomes the next pivot, and so on until no pair is open.
 
-Regions of up to BLOCK documents are resolved in one task. Larger ones are dealt into blocks: each round sends a few
-pivots to all blocks, then links are joined into components, and what is not in its region's main component yet is
-open; at last the open ones meet all blocks of their region. Sets are compared exactly (shingles by 64-bit hashes).
+Regions of up to BLOCK documents are resolved in one task. A larger one is cut into rings by the distance to its pivot,
+each as wide as the radius: by the triangle inequality a document of one ring is replicated into the rings beside it
+and no others. Rings are dealt into blocks. Each round sends pivots to the blocks of their rings, then links are joined
+into components, and what is not in its region's main component yet is open; every round has four times the pivots of
+the one before, until no document is open. Sets are compared exactly (shingles by 64-bit hashes).
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql.window import Window
 
 from tidewright.llm.common import cut, hold, map_texts, mix, ranges_of, release, tidied, window_hashes, word_hashes
 
-#: Sets of one task's region; pivots of a large region's round, and such rounds before all that is open is compared.
-BLOCK, PIVOTS, ROUNDS = 96, 32, 2
+#: Sets of one task's region, and pivots of a large region's first round.
+BLOCK, PIVOTS = 96, 32
 #: Counters of the fixed-size count of shingles, and the slices it is summed in.
 COUNTERS, SLICES = 1 << 22, 64
 #: Bits of the fixed-size bitmap that says which documents' sets may be wanted.
@@ -228,12 +230,13 @@ class Region:
         self.n = np.array([len(x) for x in sets], np.int64)
         self.component = np.arange(len(sets))
         self.open = np.ones(len(sets), bool)  # not yet compared, as a pivot, with all that it may be linked to
-        self.window = np.ones((len(sets), len(sets)), bool) if len(sets) <= 4 * BLOCK else None
+        self.distances: list[np.ndarray] = []  # of each pivot so far to all sets; not a number where they were not compared
         self.links: list[tuple[int, int]] = []
 
-    def compare(self, p: int, others: np.ndarray) -> None:
-        """Compares a pivot with others: links them, and narrows the windows of those whose distance is now known."""
-        others = others[(100 * np.minimum(self.n[others], self.n[p]) >= self.similarity * np.maximum(self.n[others], self.n[p]))]
+    def compare(self, p: int, others: np.ndarray, sizes: bool = True) -> None:
+        """Compares a pivot with others (of a size that can be linked, unless told otherwise): links them, and keeps their distances."""
+        if sizes:
+            others = others[100 * np.minimum(self.n[others], self.n[p]) >= self.similarity * np.maximum(self.n[others], self.n[p])]
         self.open[p] = False
         if not len(others):
             return
@@ -245,15 +248,23 @@ class Region:
             if self.component[i] != self.component[p]:
                 low, high = sorted((self.component[i], self.component[p]))
                 self.component[self.component == high] = low
-        if self.window is not None:
-            d = 1 - both / union
-            self.window[np.ix_(others, others)] &= np.abs(d[:, None] - d[None, :]) <= self.radius + 1e-9
+        d = np.full(len(self.sets), np.nan)
+        d[others] = 1 - both / union
+        self.distances.append(d)
+
+    def window(self, p: int) -> np.ndarray:
+        """Sets that the triangle inequality lets a set be linked to: their distances to every pivot differ by the radius at most."""
+        out = np.ones(len(self.sets), bool)
+        for d in self.distances:
+            if not np.isnan(d[p]):
+                out &= ~(np.abs(d - d[p]) > self.radius + 1e-9)
+        return out
 
     def resolve(self) -> list[tuple[int, int]]:
         """Links enough to connect all that is connected, the first set being the first pivot."""
         p = 0
         while True:
-            others = np.flatnonzero(self.open & (self.component != self.component[p]) & (self.window[p] if self.window is not None else True))
+            others = np.flatnonzero(self.open & (self.component != self.component[p]) & self.window(p))
             self.compare(p, others[others != p])
             if (self.component == self.component[0]).all():
                 return self.links
@@ -297,12 +308,18 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield key, held
 
 
-def _compare_cells(cells: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) from cells of (region, cell, whole, lead, node, blob): all of a whole region, or its leads with its members."""
+def _compare_cells(cells: DataFrame, similarity: int, distances: bool = False) -> DataFrame:
+    """Links (a, b) from cells of (region, cell, whole, lead, node, blob): all of a whole region, or its leads with its members.
+
+    distances: rows (a, b, ring) of every member of a region that is not whole, too, ring being its distance to the
+    lead in radii, rounded down; links have none.
+    """
+    radius = 1 - similarity / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (whole, lead, node, blob) in _groups(batches, 2):
             sets = [np.frombuffer(b, np.uint64) for b in blob]
+            rings: list[tuple[int, int, int]] = []
             if whole[0]:
                 first = lead.index(1) if 1 in lead else 0
                 order = [first, *(i for i in range(len(sets)) if i != first)]
@@ -311,16 +328,24 @@ def _compare_cells(cells: DataFrame, similarity: int) -> DataFrame:
             else:
                 n_lead = sum(lead)  # leads sort first
                 region = Region(sets, similarity)
-                region.window = None
                 for p in range(n_lead):
-                    others = np.arange(n_lead, len(sets))
-                    region.compare(p, others[region.component[others] != region.component[p]])
+                    # a lead's distances to the leads after it narrow what those are compared with
+                    open_ = (region.component != region.component[p]) & region.window(p)
+                    open_[:n_lead] = False
+                    open_[p + 1 : n_lead] = True
+                    region.compare(p, np.arange(n_lead, len(sets)) if distances else np.flatnonzero(open_), sizes=not distances)
                 links = [(node[a], node[b]) for a, b in region.links if node[a] != node[b]]
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+                if distances and n_lead:
+                    # a linked set's ring is 0 or 1, whatever the rounding
+                    steps = np.floor(np.nan_to_num(region.distances[0]) / max(radius, 1e-9) + 1e-9).astype(np.int64)
+                    rings = [(node[0], node[i], int(steps[i])) for i in range(n_lead, len(sets))]
+            rows = [(*x, None) for x in links] + rings
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int32())], ["a", "b", "ring"])
 
     rows = cells.select("region", "cell", "whole", "lead", "node", "blob").repartition("region", "cell").sortWithinPartitions("region", "cell", F.desc("lead"), "node")
-    return rows.mapInArrow(tidied(run), "a bigint, b bigint")
+    found = rows.mapInArrow(tidied(run), "a bigint, b bigint, ring int")
+    return found if distances else found.select("a", "b")
 
 
 def link_documents(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,10 +398,12 @@ def link_documents(docs: DataFrame, words: int = 5, similarity: int = 80, id_col
     is_lead = F.col("node") == F.col("region")
     block = F.when(is_lead, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = placed.select("region", F.explode(block).alias("cell"), (F.col("blocks") == 1).alias("whole"), is_lead.cast("int").alias("lead"), "node", "blob")
-    labels = components(_compare_cells(first, similarity))
-    large = placed.where("blocks > 1")
-    if not large.isEmpty():
-        labels = _large_regions(large, labels, similarity)
+    met_pivots = cut(_compare_cells(first, similarity, distances=True), small=True)
+    labels = components(met_pivots.where("ring IS NULL").select("a", "b"))
+    rings = met_pivots.where("ring IS NOT NULL").select(F.col("a").alias("region"), F.col("b").alias("node"), "ring")
+    large = placed.where("blocks > 1").select("region", "node", "blob")
+    if not rings.isEmpty():
+        labels = _large_regions(large, rings, labels, similarity)
     labelled = members.join(labels.withColumnRenamed("label", "found"), "node", "left").withColumn("label", F.coalesce("found", "node"))
     labelled = cut(labelled.select("doc_id", F.col("n").alias("n_shingles"), "label"))
     least = cut(labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least")), small=True)
@@ -394,29 +421,38 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(renamed.union(joined.join(labels, "node", "left_anti")), small=True)
 
 
-def _large_regions(large: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
-    """Labels once regions of several blocks are resolved; so far each member has met its region's first pivot."""
-    used = None
-    for turn in range(ROUNDS + 1):
-        of = large.select("region", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _large_regions(large: DataFrame, rings: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+    """Labels once regions of several blocks are resolved; so far each member has met its region's first pivot.
+
+    A radius of no width has rings by rounding alone, which equal sets share all the same.
+    """
+    ringed = large.join(rings.groupBy("region", "node").agg(F.min("ring").alias("ring")), ["region", "node"], "left").withColumn("ring", F.coalesce("ring", F.lit(0)))
+    sizes = cut(ringed.groupBy("region", "ring").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), small=True)
+    members = hold(ringed.join(sizes, ["region", "ring"]).withColumn("block", F.pmod(F.xxhash64("node", "region"), F.col("blocks"))).drop("blocks"))
+    beside = F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("beside")
+    used, turn = None, 0
+    while True:
+        of = members.select("region", "node", "ring").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         main = labels.select(F.col("node").alias("region"), F.col("label").alias("main"))
-        apart = of.join(main, "region", "left").where(F.col("main").isNull() | (F.col("label") != F.col("main"))).where("node <> region").select("region", "node")
+        apart = of.join(main, "region", "left").where(F.col("main").isNull() | (F.col("label") != F.col("main"))).where("node <> region").select("region", "node", "ring")
         if used is not None:
             apart = apart.join(used, ["region", "node"], "left_anti")
         apart = cut(apart.distinct(), small=True)
         if apart.isEmpty():
+            release(members)
             return labels
-        last = turn == ROUNDS
+        # of each region so many open documents, in lots of PIVOTS: one lot in the first round
+        lots = 4**turn
         n_open = cut(apart.groupBy("region").agg(F.count("*").alias("n_open")), small=True)
-        lots = F.ceil(F.col("n_open") / PIVOTS)
-        lot = apart.join(n_open, "region").withColumn("lots", lots).withColumn("lot", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("lots")))
-        chosen = cut((lot if last else lot.where("lot = 0")).select("region", "node", "lot"), small=True)
-        # every block of a region meets every lot of its pivots: blocks against a stated set, never all pairs of rows
-        per_region = cut(chosen.select("region", "lot").distinct(), small=True)
-        leads = chosen.join(large.select("region", "node", "blob", "blocks"), ["region", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        follow = large.select("region", "node", "blob", "block").join(per_region, "region")
-        cells = leads.select("region", "lot", "block", "node", "blob", F.lit(1).alias("lead")).unionByName(follow.select("region", "lot", "block", "node", "blob", F.lit(0).alias("lead")))
-        cells = cells.withColumn("cell", F.col("lot") * (1 << 32) + F.col("block")).withColumn("whole", F.lit(False))
+        drawn = apart.join(n_open, "region").withColumn("lot", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n_open") / PIVOTS)))
+        chosen = cut(drawn.where(F.col("lot") < lots).select("region", "node", "ring", "lot"), small=True)
+        # a pivot meets the rings beside its own: blocks against a stated set, never all pairs of rows
+        wanted = cut(chosen.select("region", "lot", beside).distinct(), small=True)
+        leads = chosen.select("region", "node", "lot", beside).join(sizes.withColumnRenamed("ring", "beside"), ["region", "beside"]).join(members.select("region", "node", "blob"), ["region", "node"])
+        leads = leads.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        follow = members.select("region", "node", F.col("ring").alias("beside"), "blob", "block").join(wanted, ["region", "beside"])
+        cells = leads.select("region", "lot", "beside", "block", "node", "blob", F.lit(1).alias("lead")).unionByName(follow.select("region", "lot", "beside", "block", "node", "blob", F.lit(0).alias("lead")))
+        cells = cells.withColumn("cell", F.struct("lot", "beside", "block")).withColumn("whole", F.lit(False))
         labels = _merge(labels, _compare_cells(cells, similarity))
         used = chosen.select("region", "node") if used is None else used.union(chosen.select("region", "node"))
-    return labels
+        turn += 1
