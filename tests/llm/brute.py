@@ -62,16 +62,23 @@ def repeats(texts, length=100):
     return out
 
 
-def line_dedup(texts, common_blocks, line_chars=20):
-    first, out = {}, {}
+def line_dedup(texts, least=60):
+    """{id: (lines, removed, text)}: a line goes if it stands in a run of lines that an earlier document holds as well."""
     lines = {i: [] if t is None else t.split("\n") for i, t in texts.items()}
+    held, out = defaultdict(list), {}
     for i in sorted(texts):
-        partners = set()
-        for x in lines[i]:
-            if len(x) >= line_chars and first.setdefault(x, i) != i:
-                partners.add(first[x])
-        gone = set()
-        for p in partners:
-            gone |= set(common_blocks([hash(x) for x in lines[i]], [hash(x) for x in lines[p]], [len(x) for x in lines[i]]))
-        out[i] = (len(lines[i]), len(gone), None if texts[i] is None else "\n".join(x for k, x in enumerate(lines[i]) if k not in gone))
+        own, gone = lines[i], set()
+        for k, x in enumerate(own):
+            for j, p in held[x]:
+                other = lines[j]
+                if k and p and own[k - 1] == other[p - 1]:
+                    continue  # not the first line of the run
+                n = 0
+                while k + n < len(own) and p + n < len(other) and own[k + n] == other[p + n]:
+                    n += 1
+                if sum(map(len, own[k : k + n])) >= least:
+                    gone.update(range(k, k + n))
+        for p, x in enumerate(own):
+            held[x].append((i, p))
+        out[i] = (len(own), len(gone), None if texts[i] is None else "\n".join(x for k, x in enumerate(own) if k not in gone))
     return out

@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from tests.llm import brute
 from tests.llm.test_operators import docs_of
 from tidewright.llm import line_dedup, packing, stages
 from tidewright.llm.corpus_queries import op8_line_dedup
@@ -12,24 +13,6 @@ from tidewright.llm.corpus_queries import op8_line_dedup
 A, B = "first line of forty characters, or nearly", "second line of forty characters or nearly"
 
 
-def _plain(texts, least=line_dedup.BLOCK_CHARS):
-    """Lines removed by id, each document aligned with the earliest holder of each of its long lines and of each of its runs."""
-    out, first = {}, {}
-    lines = {i: t.split("\n") for i, t in sorted(texts.items())}
-    for i, x in lines.items():
-        leads = {(y,) for y in x if len(y) >= line_dedup.LINE_CHARS}
-        for a in range(len(x)):
-            for b in range(a + 1, len(x) + 1):
-                n = sum(map(len, x[a:b]))
-                if n >= least and (n - len(x[a]) < least or n - len(x[b - 1]) < least):
-                    leads.add(tuple(x[a:b]))
-        gone = set()
-        for p in {first.setdefault(y, i) for y in leads} - {i}:
-            gone |= set(line_dedup.common_blocks([hash(y) for y in x], [hash(y) for y in lines[p]], [len(y) for y in x]))
-        out[i] = len(gone)
-    return out
-
-
 def test_line_blocks_whose_lines_have_other_earliest_holders(spark, tmp_path):
     short = "\n".join(f"short line {k}" for k in range(8))
     texts = {1: f"{A}\nown text of one", 2: f"own text of two\n{B}", 3: f"x\n{A}\n{B}\ny", 4: f"p\n{A}\n{B}\nq", 5: f"r\n{short}", 6: f"{short}\ns"}
@@ -42,9 +25,9 @@ def test_line_runs_against_plain(spark):
     r = random.Random(4)
     lines = ["".join(r.choice("abcdefghij ") for _ in range(r.choice([0, 3, 15, 25, 55, 70]))) for _ in range(60)]
     rows = [(i, "\n".join(lines[(s + j) % 60] if r.random() < 0.9 else f"own line {i} {j}" for j in range(r.randint(0, 20)))) for i in range(80) for s in [r.randrange(60)]]
-    got = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(docs_of(spark, rows), runs=True).collect()}
-    assert got == _plain(dict(rows))
-    assert sum(got.values()) > sum(x.n_removed for x in line_dedup.dedup_lines(docs_of(spark, rows)).collect())
+    rows += [(90 + k, "\n".join(r.sample(lines, 30))) for k in range(10)]  # in any order
+    got = {x.doc_id: tuple(x)[1:] for x in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
+    assert got == brute.line_dedup(dict(rows))
 
 
 def test_stages_tell_rows_apart(spark):

@@ -84,7 +84,8 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(v, types[k]) for k, v in made.items())], [*keep, *made])
 
-    return df.select(*[df[c] for c in keep], df[text].alias("_text")).mapInArrow(tidied(run), out_schema)
+    last = "_" * (1 + max(map(len, keep), default=0))  # a name that no kept column has
+    return df.select(*[df[c] for c in keep], df[text].alias(last)).mapInArrow(tidied(run), out_schema)
 
 
 def ranges_of(texts: pa.Array, limit: int) -> list[tuple[int, int]]:

@@ -92,8 +92,10 @@ LABELLED = """
 120 0.02 0 0 0 1
 35 0 0 0 0 1
 75 0 0 0 0 1
-4 0 0 0 0 0
+2 0 0 0 0 0
 3 1 0 0 0 0
+55 0 0 0 0 1
+1 1 0 0 0 0
 9 0.4 0 0 0 0
 
 2 1 0 0 1 0
@@ -140,6 +142,42 @@ LABELLED = """
 3 0 0 1 1 0
 30 0.3 0 0 1 0
 5 0 0 0 1 0
+
+62 0.05 0 0 1 0
+2 0 0 0 1 0
+9 0 1 1 0 1
+44 0 1 1 0 1
+12 0 0 1 0 1
+9 0 0 1 0 1
+21 0 0 1 0 1
+30 0.1 0 1 0 1
+8 0 0 1 0 1
+52 0.05 1 1 0 1
+11 0.2 0 1 0 1
+26 0 0 1 0 1
+6 1 0 1 0 0
+9 1 0 1 0 0
+14 0.9 0 1 0 0
+4 0.8 0 1 0 0
+120 0 0 1 1 0
+48 0 0 0 1 0
+
+5 0 1 0 0 1
+60 0 1 0 0 1
+13 0 1 0 0 1
+70 0.1 1 0 0 1
+12 1 1 0 0 0
+9 1 1 0 0 0
+15 0.9 1 0 0 0
+7 1 1 0 0 0
+
+8 0 1 1 0 1
+15 0 0 1 0 1
+1 0 0 1 0 1
+7 0 0 1 0 1
+1 0 0 1 0 1
+19 0 0 1 0 1
+2 0 0 1 0 1
 """
 
 
@@ -153,7 +191,7 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
             around = [*(rows[k - 1][:2] if k else edge), *(rows[k + 1][:2] if k + 1 < len(rows) else edge)]
             x.append([words, links, *around, prose, article, furniture])
             y.append(int(label))
-            if not (label == 0 and prose or label == 1 and not prose and words < 20):
+            if label == 0 and not prose and (words < 20 or not furniture) or label == 1 and (prose or words >= 32):
                 x.append([words, links, *around, prose, 0.0, 0.0])
                 y.append(int(label))
     return np.array(x, float), np.array(y)
