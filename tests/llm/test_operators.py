@@ -315,6 +315,17 @@ def test_suffix_dedup(spark, corpus, corpus_rows):
     assert suffix_dedup.remove_repeats(corpus.where("false")).count() == 0
 
 
+def test_suffix_dedup_frequent_anchors(spark, monkeypatch, corpus_rows):
+    """Anchors in more than three places go by the hashes of their windows."""
+    monkeypatch.setattr(suffix_dedup, "QUEUE", 6)
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line = word(130)
+    rows = [(i, word(r.randint(0, 90)) + line[: r.randint(60, 130)] + word(r.randint(0, 200))) for i in range(40)] + [(50 + i, word(30) + line * 2) for i in range(9)] + [(100 + i, t) for i, t in corpus_rows[:80]]
+    got = suffix_dedup.remove_repeats(docs_of(spark, rows)).collect()
+    assert {x.doc_id: tuple(x)[1:] for x in got} == brute.repeats(dict(rows))
+
+
 def test_suffix_dedup_long_texts(spark, monkeypatch):
     """Chunks far shorter than a text: repeats across their edges are found, as in whole texts."""
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)

@@ -8,8 +8,8 @@ once and its ids are joined back by position:
 2. a bucket's chunks, distinct over all slices, are segmented, and each slice gets the ids of its own;
 3. the table of a partition's slices is written as one file, which the second reading of the partition looks up.
 
-What is dealt are sets of chunks, never their occurrences. Chunks of over CHUNK_CHARS characters, few and of little
-repetition, are segmented where they stand; so is any that the table lacks, should a second reading cut its partitions
+What is dealt are sets of chunks, never their occurrences. Chunks of over CHUNK_CHARS characters and those of spaces
+alone, few and of little repetition, are segmented where they stand; so is any that the table lacks, should a second reading cut its partitions
 otherwise. The model is checked for that property, for its identity normaliser and for its dummy prefix; any other
 model, and any text with a literal marker, goes to the library whole.
 """
@@ -92,13 +92,17 @@ def codec(path: str) -> PieceCodec:
 
 
 def _dump(x) -> bytes:
-    return zstandard.compress(pickle.dumps(x, protocol=5), 1)
+    return zstandard.compress(pickle.dumps(x, protocol=5), 3)
 
 
 def _load(blob: bytes):
     return pickle.loads(zstandard.decompress(blob))
 
 
+def short(ids: np.ndarray) -> bool:
+    return int(ids.max(initial=0)) < 1 << 16
+
+
 class _Slices:
     """Numbers the texts of a partition by the bytes before them, the same in every reading."""
 
@@ -138,7 +142,7 @@ def chunk_table(docs: DataFrame, model: str, text_col: str = "text") -> str:
                 dealt.setdefault(zlib.crc32(x.encode("utf-8", "surrogatepass")) % buckets, []).append(x)
             held.clear()
             n = len(dealt)
-            return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([at] * n, pa.int32()), pa.array([_dump(x) for x in dealt.values()], pa.binary())], ["bucket", "part", "slice", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([at] * n, pa.int32()), pa.array([_dump("".join(sorted(x))) for x in dealt.values()], pa.binary())], ["bucket", "part", "slice", "blob"])
 
         for batch in batches:
             column = batch.column(0)
@@ -148,7 +152,7 @@ def chunk_table(docs: DataFrame, model: str, text_col: str = "text") -> str:
                     if k != at:
                         yield out()
                         at = k
-                    held.update(x for x in set(c.chunks(text) or ()) if len(x) <= CHUNK_CHARS)
+                    held.update(x for x in set(c.chunks(text) or ()) if len(x) <= CHUNK_CHARS and x[-1] != " ")
         yield out()
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +164,13 @@ def chunk_table(docs: DataFrame, model: str, text_col: str = "text") -> str:
         for rows in buckets_.values():
             ids: dict[str, bytes] = {}
             for part, k, blob in rows:
-                chunks = _load(blob)
+                joined = _load(blob)  # chunks that hold more than spaces come apart again as they were
+                chunks = _CHUNKS(joined)
                 new = [x for x in chunks if x not in ids]
                 ids.update(zip(new, c.segment(new), strict=True))
                 own = [ids[x] for x in chunks]
-                made = _dump((chunks, np.array([len(x) for x in own], np.uint16), b"".join(own)))
+                flat = np.frombuffer(b"".join(own), "<u4")
+                made = _dump((joined, np.array([len(x) // 4 for x in own], np.uint8), flat.astype("<u2") if short(flat) else flat))
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([made], pa.binary())], ["part", "slice", "blob"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +217,9 @@ class _Tables:
         if k != self.at:
             self.at, self.table = k, {}
             for blob in self.blobs.pop(k, ()):
-                chunks, sizes, ids = _load(blob)
-                ends = np.cumsum(sizes, dtype=np.int64)
-                self.table.update((c, ids[a:b]) for c, a, b in zip(chunks, (ends - sizes).tolist(), ends.tolist(), strict=True))
+                joined, sizes, flat = _load(blob)
+                ids, ends = flat.astype("<u4").tobytes(), 4 * np.cumsum(sizes, dtype=np.int64)
+                self.table.update((c, ids[a:b]) for c, a, b in zip(_CHUNKS(joined), [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
         return self.table
 
 

@@ -11,6 +11,9 @@ equal windows have equal anchors at equal places.
    begins l bytes before its anchor is the tuple (those l bytes, the run of suffixes that share LENGTH - l bytes with
    it): order and common prefixes of the anchors induce equality of all windows, and the least place of each is kept.
 4. The other places come back to their documents, where overlapping spans are joined and removed.
+
+Equal contexts of a part are one suffix. An anchor in more places than half a queue is not sorted in one: the windows
+of its contexts are dealt by their own hashes, so that no anchor, however frequent, belongs to one task.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import _BYTE, hold, mix, powers, shared_dir, tidied
+from tidewright.llm.common import _BYTE, cut, mix, powers, shared_dir, tidied
 
 LENGTH, GRAM = 100, 32
-#: Bytes of a written part, bytes hashed at a time, suffixes of a queue.
-PART_BYTES, CHUNK, QUEUE = 28_000_000, 1_000_000, 40_000
+#: Bytes of a written part, bytes hashed at a time, suffixes of a queue, bytes of text per task.
+PART_BYTES, CHUNK, QUEUE, TASK_BYTES = 28_000_000, 1_000_000, 40_000, 32_000_000
 _PLACE = 24  # bits of a place in a chunk; the other 40 are the anchor's hash
 
 
@@ -145,6 +148,14 @@ def repeated_windows(suffixes: list[tuple[tuple, bytes, int, int, int]]) -> np.n
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
+def repeated_hashes(hashes: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Rows whose hash also stands at an earlier place."""
+    o = np.lexsort((where, hashes))
+    head = np.concatenate([[True], hashes[o][1:] != hashes[o][:-1]])
+    least = where[o][np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))]
+    return o[where[o] > least]
+
+
 def join_spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Overlapping or touching spans joined, in order."""
     if not len(start):
@@ -221,7 +232,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source.select(part, "*").write.partitionBy("part").option("compression", "zstd").parquet(folder)
     written = spark.read.schema("id bigint, hash bigint, text string, part int").parquet(folder)
     every = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(None).cast("binary").alias("blob"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["bucket", "blob"], [pa.int32(), pa.binary()]
@@ -262,18 +273,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for found in buckets.values():
             h = np.concatenate([x[0] for x in found])
             values, times = np.unique(h, return_counts=True)
-            twice = values[times > 1]
+            twice, often = values[times > 1], values[times > QUEUE // 2]
             out = []
             for own, docs_, index, place in found:
                 at = np.searchsorted(twice, own)
                 keep = np.flatnonzero((at < len(twice)) & (twice[at.clip(max=max(0, len(twice) - 1))] == own)) if len(twice) else np.zeros(0, np.int64)
                 if len(keep):
                     part_of = docs_[index[keep], 0]
-                    out += _pack(part_of, lambda rows, keep=keep, docs_=docs_, index=index, place=place: (docs_[index[keep[rows]], 1:], place[keep[rows]]))
+                    hot = np.isin(own[keep], often)
+                    out += _pack(part_of, lambda rows, keep=keep, docs_=docs_, index=index, place=place, hot=hot: (docs_[index[keep[rows]], 1:], place[keep[rows]], hot[rows]))
             yield _batch([(k, len(_load(b)[1]), b) for k, b in out], [pa.int32(), pa.int64(), pa.binary()], ["part", "n", "blob"])
 
     sampled = written.mapInArrow(tidied(sample), "bucket int, blob binary").repartition(min(tasks, buckets), "bucket")
-    hints = hold(sampled.mapInArrow(tidied(repeated), "part int, n bigint, blob binary"))
+    hints = cut(sampled.mapInArrow(tidied(repeated), "part int, n bigint, blob binary"))
     n_hints = hints.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     queues = max(16, -(-n_hints // QUEUE))
 
@@ -286,17 +298,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for p, found in by_part.items():
             if not found:
                 continue
-            wanted: dict[tuple[int, int], list] = {}
+            wanted: dict[tuple[int, int], tuple] = {}
             key = np.concatenate([x[0] for x in found])
             place = np.concatenate([x[1] for x in found]).astype(np.int64)
+            often = np.concatenate([x[2] for x in found])
             o = np.lexsort((place, key[:, 1], key[:, 0]))
-            key, place = key[o], place[o]
+            key, place, often = key[o], place[o], often[o]
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-                wanted[tuple(key[a].tolist())] = place[a:b]
-            del found, key, place, o
+                wanted[tuple(key[a].tolist())] = place[a:b], often[a:b]
+            del found, key, place, often, o
             seen: dict[bytes, tuple] = {}  # the least place of each context of this part; the others are repeats already
             spans: dict[tuple[int, int], list] = {}
+            windows: list[tuple] = []  # of frequent anchors: (document, starts, hashes)
             marked: list = []
             docs_ = {}
             for k, t in _Part(folder, p).rows():
@@ -306,13 +320,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 h, at, first, last = anchors(data, stops)
                 doc = np.searchsorted(stops, at, side="right")
                 base = bases[doc] - (stops - np.diff(stops, prepend=0))[doc]
-                hint = np.zeros(len(data), bool)
+                hint = np.zeros(len(data), np.int8)
                 starts = stops - np.diff(stops, prepend=0)
                 for d, k in enumerate(keys):
-                    local = wanted[k] - bases[d]
-                    local = local[(local >= 0) & (local < stops[d] - starts[d])]
-                    hint[local + starts[d]] = True
-                raw = data.tobytes()
+                    local, hot = wanted[k]
+                    local = local - bases[d]
+                    inside = (local >= 0) & (local < stops[d] - starts[d])
+                    hint[local[inside] + starts[d]] = 1 + hot[inside]
+                raw, hashes = data.tobytes(), None
                 for i in np.flatnonzero(hint[at]).tolist():
                     a, b = int(first[i]), int(last[i]) + LENGTH
                     context, own = raw[a:b], keys[doc[i]]
@@ -321,9 +336,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if sign in seen:
                         if seen[sign][0] != (*own, a + where):
                             spans.setdefault(own, []).append((a + where, b + where))
-                    else:
+                    elif hint[at[i]] == 1:
                         seen[sign] = (*own, a + where), context, int(at[i]) - a, int(h[i])
-            rows = [x for x in seen.values()]
+                    else:
+                        seen[sign] = ((*own, a + where),)
+                        hashes = gram_hashes(data, LENGTH) if hashes is None else hashes
+                        windows.append((own, np.arange(a, b - LENGTH + 1) + where, hashes[a : b - LENGTH + 1]))
+            if windows:
+                holders = list(dict.fromkeys(w[0] for w in windows))
+                rank = {k: r for r, k in enumerate(holders)}
+                doc = np.repeat(np.array([rank[w[0]] for w in windows], np.uint32), [len(w[1]) for w in windows])
+                begin, value = np.concatenate([w[1] for w in windows]), np.concatenate([w[2] for w in windows])
+                bucket = (value % np.uint64(queues)).astype(np.int64)
+
+                def dealt(at, holders=holders, doc=doc, begin=begin, value=value, p=p):
+                    used, index = np.unique(doc[at], return_inverse=True)
+                    return p, [holders[k] for k in used.tolist()], index.astype(np.uint32), begin[at], value[at]
+
+                yield _batch([(2, k, b) for k, b in _pack(bucket, dealt)], types, names)
+            rows = [x for x in seen.values() if len(x) > 1]
             if rows:
                 queue = np.array([x[3] for x in rows], np.uint64)
                 queue = (mix(queue) % np.uint64(queues)).astype(np.int64)
@@ -334,12 +365,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queue: dict[int, list] = {}
+        windows: dict[int, list] = {}
         for batch in batches:
             for kind, k, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if kind:  # spans that are known already pass
+                if kind == 1:  # spans that are known already pass
                     yield _batch([(k, blob)], [pa.int32(), pa.binary()], ["part", "blob"])
                 else:
-                    queue.setdefault(k, []).append(blob)
+                    (windows if kind else queue).setdefault(k, []).append(blob)
+        for blobs in windows.values():
+            found = [_load(b) for b in blobs]
+            owners = [(p, k) for p, names, *_ in found for k in names]
+            shift = np.cumsum([0, *(len(x[1]) for x in found)])[:-1]
+            owner = np.concatenate([x[2].astype(np.int64) + n for x, n in zip(found, shift.tolist(), strict=True)])
+            begin, value = np.concatenate([x[3] for x in found]), np.concatenate([x[4] for x in found])
+            ranked = {k: r for r, k in enumerate(sorted({k for _, k in owners}))}
+            rank = np.array([ranked[k] for _, k in owners], np.uint64)[owner]
+            later = repeated_hashes(value, (rank << np.uint64(36)) | begin.astype(np.uint64))
+            told: dict[int, dict] = {}
+            for o in np.unique(owner[later]).tolist():
+                own = begin[later[owner[later] == o]]
+                told.setdefault(owners[o][0], {})[owners[o][1]] = join_spans(own, own + LENGTH)
+            if told:
+                yield _batch([(p, _dump(list(m.items()))) for p, m in told.items()], [pa.int32(), pa.binary()], ["part", "blob"])
         for blobs in queue.values():
             suffixes, part_of = [], []
             for blob in blobs:
