@@ -167,6 +167,14 @@ def test_one_estimator_of_ones_own(spark):
     assert walked.count() == 20 and walked.where("abs(prediction - y) > 1e-5").count() == 0
 
 
+def test_written_tables_are_removed(spark):
+    from tidewright.session import clear_shared, staged
+    from tidewright.sources import files
+
+    path = staged(spark.range(3)).inputFiles()[0].rsplit("/", 1)[0]
+    assert files.exists(path) and clear_shared(spark) >= 1 and not files.exists(path)
+
+
 def test_ewm_of_rows_without_values(spark):
     df = spark.createDataFrame([("a", dt.datetime(2024, 1, 1) + dt.timedelta(i), None) for i in range(3)], "series string, ts timestamp, x double")
     assert [r.m for r in ewm_mean(df, S, {"m": "x"}, 3).collect()] == [None] * 3

@@ -33,8 +33,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir.
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; clear_shared() removes it.
 
     Where that is unset a session in one process takes a temporary folder; on a cluster that would be another disk for
     every executor, so it is an error.
@@ -46,7 +49,18 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/tidewright/{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/tidewright/{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Removes what this application has written to the shared folder, once the results that read it are written elsewhere."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def staged(df: DataFrame) -> DataFrame:
