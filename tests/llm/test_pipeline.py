@@ -17,7 +17,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     known = langid.learn(docs)
     rejected = {r.doc_id for r in langid.classify(docs, known).where("rejected").collect()}
     want = [{i: t for i, t in rows.items() if i not in rejected}]
-    lines = brute.line_dedup(want[-1], line_dedup.common_blocks)
+    lines = brute.line_dedup(want[-1])
     want.append({i: t for i, (n, gone, t) in lines.items() if gone < n or not gone})
     groups = {i: c for i, _, c in brute.components(sorted(want[-1].items()), 5, 80)}
     want.append({i: t for i, t in want[-1].items() if groups[i] == i})

@@ -201,8 +201,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id:
     n_docs, total = encoded.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     corpus = spark.sparkContext.broadcast((term_counts(encoded), n_docs, total / max(1, n_docs)))
     ranges = max(1, -(-total // RANGE_IDS))
-    # a number of each row breaks ties between equal min-hashes, so that no value can hold a range by itself
-    dealt = encoded.withColumn("h3", F.xxhash64("doc_id", F.monotonically_increasing_id())).repartitionByRange(ranges, "h1", "h2", "h3").sortWithinPartitions("h1", "h2", "h3", "doc_id", "ids").select("doc_id", "n", "ids")
+    # the id and at last a number of each row break ties between equal min-hashes, so that no value can hold a range by itself
+    dealt = encoded.withColumns({"h3": F.xxhash64("doc_id"), "h4": F.monotonically_increasing_id()}).repartitionByRange(ranges, "h1", "h2", "h3", "h4").sortWithinPartitions("h1", "h2", "h3", "doc_id", "ids").select("doc_id", "n", "ids")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
