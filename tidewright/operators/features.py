@@ -135,20 +135,24 @@ def holiday_features(df: DataFrame, holidays: list[date], ts: str = "ts") -> Dat
     """is_holiday, days_to_next_holiday, days_from_last_holiday, days_to_nearest_holiday: whole days, rounded down.
 
     The next holiday is the first that begins at the row's time or later, so within a holiday it is the one after it.
-    Dates further than the list reaches have no distance. The calendar has a row a day and is broadcast.
+    Days are counted from the whole time, fractions of a second included (seconds as doubles, as SQL's epoch has them).
+    Before the list there is only a next holiday, its first, and after it only a last one, its end, however far away; the
+    nearest is then that one. A row without a time has nothing. The calendar has a row a day of the list and is broadcast.
     """
     if not holidays:
         return df.withColumns({"is_holiday": F.lit(0), **{c: F.lit(None).cast("int") for c in ("days_to_next_holiday", "days_from_last_holiday", "days_to_nearest_holiday")}})
-    margin = timedelta(365)
-    table = holiday_calendar(df.sparkSession, holidays, min(holidays) - margin, max(holidays) + margin)
-    t = F.col(ts).cast("timestamp")
+    first, last = min(holidays), max(holidays)
+    table = holiday_calendar(df.sparkSession, holidays, first, last)
+    t, day = F.col(ts).cast("timestamp"), F.col("day")
     joined = df.withColumn("day", F.to_date(t)).join(F.broadcast(table), "day", "left")
-    at_midnight = t == F.col("day").cast("timestamp")
-    following = F.when(at_midnight, F.col("next_from")).otherwise(F.col("next_after"))
-    seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))
-    to_next = F.floor((seconds(following) - F.unix_timestamp(t)) / 86400).cast("int")
-    from_last = F.floor((F.unix_timestamp(t) - seconds(F.col("previous"))) / 86400).cast("int")
-    out = joined.withColumns({"is_holiday": F.coalesce("is_holiday", F.lit(0)), "days_to_next_holiday": to_next, "days_from_last_holiday": from_last})
+    at_midnight = t == day.cast("timestamp")
+    following = F.when(day < F.lit(first), F.lit(first)).when(at_midnight, F.col("next_from")).otherwise(F.col("next_after"))
+    previous = F.when(day > F.lit(last), F.lit(last)).otherwise(F.col("previous"))
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
+    to_next = F.floor((seconds(following) - seconds(t)) / 86400).cast("int")
+    from_last = F.floor((seconds(t) - seconds(previous)) / 86400).cast("int")
+    is_holiday = F.when(day.isNotNull(), F.coalesce("is_holiday", F.lit(0)))
+    out = joined.withColumns({"is_holiday": is_holiday, "days_to_next_holiday": to_next, "days_from_last_holiday": from_last})
     return out.withColumn("days_to_nearest_holiday", F.least("days_to_next_holiday", "days_from_last_holiday")).drop("day", "previous", "next_from", "next_after")
 
 
